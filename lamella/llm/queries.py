@@ -16,5 +16,37 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"), at_least=0.9)
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kdtree import top_k
+
+    return top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    from .tokens import public_path
+
+    return pack(_read(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), capacity=4096)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(_read(spark, sf_dir, "documents"), shards=16)
+
+
+_ALL = (op1_minhash_near_dedup, op2_embedding_near_dedup, op5_exact_top_k, op6_best_fit_packing, op9_toxicity, op10_sharding)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
