@@ -35,6 +35,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), capacity=4096)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"), window=20)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import classify
 
@@ -47,6 +53,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), shards=16)
 
 
-_ALL = (op1_minhash_near_dedup, op2_embedding_near_dedup, op5_exact_top_k, op6_best_fit_packing, op9_toxicity, op10_sharding)
+_ALL = (op1_minhash_near_dedup, op2_embedding_near_dedup, op5_exact_top_k, op6_best_fit_packing, op7_substring_dedup, op9_toxicity, op10_sharding)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
