@@ -22,6 +22,19 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings"), at_least=0.9)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import public_path
+    from .wordpiece import count_tokens
+
+    return count_tokens(_read(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_repeats
+
+    return line_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kdtree import top_k
 
@@ -41,6 +54,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), window=20)
 
 
+def op8_segmentation_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sampling import segmentations
+    from .tokens import public_path
+
+    return segmentations(_read(spark, sf_dir, "conversations"), public_path("piece_bpe_32k.model"), keys=("conv_id", "turn"), k=2)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import classify
 
@@ -53,6 +73,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), shards=16)
 
 
-_ALL = (op1_minhash_near_dedup, op2_embedding_near_dedup, op5_exact_top_k, op6_best_fit_packing, op7_substring_dedup, op9_toxicity, op10_sharding)
+_ALL = (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_token_counts, op4_line_dedup, op5_exact_top_k, op6_best_fit_packing, op7_substring_dedup, op8_segmentation_sampling, op9_toxicity, op10_sharding)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
