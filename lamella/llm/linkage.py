@@ -7,33 +7,80 @@ hubs of those buckets that still hold several components, against members of
 other components only. A hub has met all of its bucket and leaves it, so the
 rounds end when every proposed pair lies inside a component or has been tested:
 no link that could join two components is lost, and no bucket is ever gathered.
+Large buckets are dealt in blocks, each with its own copy of the bucket's hubs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .store import Store
 
-FIRST_HUBS, MORE_HUBS = 16, 8
+FIRST_HUBS, MORE_HUBS, BLOCK_ROWS = 64, 16, 1024
+#: Takes the contents of some hubs and of some members and which pairs (hub, member) to test; tells which of these are links.
+Test = Callable[[list, list, np.ndarray], np.ndarray]
 
 
-def link(store: Store, buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _groups(batches):
+    """Tables of rows with equal first two columns, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0)) + 1).tolist(), len(x)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and (x[a], y[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = x[a], y[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _meet(test: Test):
+    """Of sorted rows (key, block, node, c, hub, content): links between a hub and a member of the same block and another component."""
+
+    def run(batches):
+        for rows in _groups(batches):
+            node, c, hub = (rows.column(k).to_numpy() for k in (2, 3, 4))
+            h, m = np.flatnonzero(hub), np.flatnonzero(~hub)
+            ok = c[h][:, None] != c[m]
+            if ok.any():
+                content = rows.column(5)
+                ok = test(content.take(pa.array(h)).to_pylist(), content.take(pa.array(m)).to_pylist(), ok)
+                i, j = np.nonzero(ok)
+                if len(i):
+                    yield _pairs([node[h[i]]], [node[m[j]]])
+
+    return run
+
+
+def _pairs(left: list, right: list) -> pa.RecordBatch:
+    x, y = np.concatenate(left), np.concatenate(right)
+    both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
+
+
+def link(store: Store, buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], content: DataFrame, test: Test) -> DataFrame:
     """(node, component) of the nodes that confirmed links join.
 
     buckets: kept table (key, node), rows distinct, each key with two nodes or more.
     confirm: takes (a, b) with a < b, distinct, and returns those that are links.
+    content: kept table (node, content) for test, which decides pairs of a block of a bucket.
     """
     hub = buckets.groupBy("key").agg(F.min("node").alias("hub"))
-    pairs = buckets.join(hub, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tested = store.keep(pairs, "pairs")
-    links = store.keep(confirm(tested), "links")
-    rest = buckets.join(hub, "key").where("node <> hub").select("key", "node")
-    found, hubs, round_no = components(store, links), FIRST_HUBS, 1
+    starred = store.keep(buckets.join(hub, "key").where("node <> hub").select("key", "node", "hub"), "stars")
+    links = store.keep(confirm(starred.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "links")
+    rest, found, hubs, round_no = starred.select("key", "node"), components(store, links), FIRST_HUBS, 1
     while True:
         member = rest.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
         state = member.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
@@ -41,13 +88,15 @@ def link(store: Store, buckets: DataFrame, confirm: Callable[[DataFrame], DataFr
         if active.isEmpty():
             return found
         is_hub = F.expr(f"pmod(xxhash64(node, {round_no}), greatest(1, n div {hubs})) = 0")
-        left = active.where(is_hub).select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-        met = active.join(left, "key").where("c <> cx").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-        fresh = store.keep(met.join(tested, ["a", "b"], "left_anti"), "pairs")
-        good = store.keep(confirm(fresh), "links")
+        blocks = F.floor((F.col("n") + BLOCK_ROWS - 1) / BLOCK_ROWS).cast("int")
+        filled = active.join(content, "node")
+        one = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        # a member goes to its own block; a hub, besides, to every block of the bucket
+        places = F.concat(F.array(F.struct(one.alias("block"), F.lit(False).alias("hub"))), F.when(is_hub, F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("hub")))).otherwise(F.expr("cast(array() as array<struct<block: int, hub: boolean>>)")))
+        dealt = filled.select("key", "node", "c", "content", F.explode(places).alias("p")).select("key", "p.block", "node", "c", "p.hub", "content")
+        good = store.keep(dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_meet(test), "a long, b long").distinct(), "links")
         if not good.isEmpty():
             stars = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
             found = components(store, stars.unionByName(good))
-        tested = tested.unionByName(fresh)
         rest = active.where(~is_hub).select("key", "node")
         hubs, round_no = hubs * MORE_HUBS, round_no + 1

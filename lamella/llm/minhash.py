@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linkage import link
-from .store import Store
+from .packets import KEY_PACKET, dealt, filter_of, key_packets, might_hold, shared
+from .store import Store, parts
 from .text import U, Words, constants, mix, roll, slices
 
 BANDS, ROWS = 42, 6
 K = BANDS * ROWS
+PART_ENTRIES = 1_000_000
 #: Size class c takes sets of 4^c to 1.25 * 4^(c+1) elements. Two sets at similarity 0.8 differ by at most a
 #: fifth in size, so they share a class; sets in the overlap get a sketch for either.
 CLASSES = 24
@@ -78,11 +79,10 @@ def _band_keys(sketch: np.ndarray, tag: int) -> np.ndarray:
     key = np.full(BANDS, tag, np.uint64) + np.arange(BANDS, dtype=np.uint64) * U(CLASSES)
     for k in range(ROWS):
         key = mix(key * U(0x9E3779B97F4A7C15) + rows[:, k])
-    return key.view(np.int64)
+    return key
 
 
-_SKETCHES = "doc_id long, n_shingles long, digest binary, c1 int, c2 int, s1 binary, s2 binary"
-_PARTS = ("c1", "c2", "s1", "s2")
+_SKETCHES = "doc_id long, n_shingles long, digest binary, mark binary"
 
 
 def _sketch(n: int):
@@ -90,67 +90,122 @@ def _sketch(n: int):
         for batch in batches:
             ids = batch.column(0)
             for i, j, words in slices(batch.column(1), lower=True):
-                size, digest, c, s = [], [], ([], []), ([], [])
+                size, digest, mark = [], [], []
                 for x in shingle_sets(words, n):
                     size.append(len(x))
                     digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                    own = size_classes(len(x))
-                    for k in (0, 1):
-                        c[k].append(own[k] if k < len(own) else None)
-                        s[k].append(sketch(x, own[k]).tobytes() if k < len(own) else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *(pa.array(x, pa.int32()) for x in c), *(pa.array(x, pa.binary()) for x in s)], ["doc_id", "n_shingles", "digest", "c1", "c2", "s1", "s2"])
+                    two = np.zeros(2, _MARK)
+                    two["c"] = -1
+                    for k, c in enumerate(size_classes(len(x))):
+                        two[k] = c, sketch(x, c)
+                    mark.append(two.tobytes() if len(x) else None)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(mark, pa.binary())], ["doc_id", "n_shingles", "digest", "mark"])
 
     return run
 
 
-def _bands(batches):
-    for batch in batches:
-        node, keys = [], []
-        ids = batch.column("node").to_numpy()
-        for k in "12":
-            for i, c, x in zip(ids, *(batch.column(n + k).to_pylist() for n in "cs"), strict=True):
-                if x is not None:
-                    node.append(i)
-                    keys.append(_band_keys(np.frombuffer(x, np.uint16), c))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(node, np.int64), BANDS))], ["key", "node"])
+def _bands(n_parts: int):
+    def run(batches):
+        for batch in batches:
+            node, keys = [], []
+            for i, mark in zip(batch.column("node").to_pylist(), batch.column("mark").to_pylist(), strict=True):
+                for c, x in np.frombuffer(mark, _MARK):
+                    if c >= 0:
+                        node.append(i)
+                        keys.append(_band_keys(x, int(c)))
+            if keys:
+                yield key_packets(np.concatenate(keys), np.repeat(np.array(node, np.int64), BANDS), n_parts)
+
+    return run
 
 
-def estimate(x: np.ndarray, y: np.ndarray) -> tuple[float, int]:
-    """Similarity from registers, less what equal registers of unlike elements add, and the number of registers used."""
-    used = int(np.count_nonzero((x != EMPTY) | (y != EMPTY)))
-    same = np.count_nonzero((x == y) & (x != EMPTY))
-    return (max(0.0, (same / used - COLLISION) / (1 - COLLISION)) if used else 1.0), used
+def estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities of sketches x with sketches y, row by row or one with many, and the registers used: from equal registers, less what those of unlike elements add."""
+    full = (x != EMPTY) | (y != EMPTY)
+    used = np.maximum(1, full.sum(-1))
+    same = ((x == y) & full).sum(-1)
+    return np.maximum(0.0, (same / used - COLLISION) / (1 - COLLISION)), used
 
 
-def _promising(percent: int):
-    """Pairs whose estimate is within five standard deviations of the threshold."""
+def _worth(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether estimates are within five standard deviations of the threshold, or above."""
     t = percent / 100
+    j, used = estimate(x, y)
+    return j >= t - 5 * np.sqrt(t * (1 - t) / used)
+
+
+_MARK = np.dtype([("c", np.int32), ("s", np.uint16, K)])
+
+
+def _content(n: int):
+    """(node, content): the two sketches and then the sorted shingle hashes."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            side = {k: [dict(zip(c, s, strict=True)) for c, s in zip(zip(*(batch.column(f"c{x}_{k}").to_pylist() for x in "12"), strict=True), zip(*(batch.column(f"s{x}_{k}").to_pylist() for x in "12"), strict=True), strict=True)] for k in "ab"}
-            for x, y in zip(side["a"], side["b"], strict=True):
-                best = False
-                for c in x.keys() & y.keys() - {None}:
-                    j, used = estimate(np.frombuffer(x[c], np.uint16), np.frombuffer(y[c], np.uint16))
-                    best |= j >= t - 5 * math.sqrt(t * (1 - t) / max(1, used))
-                keep.append(best)
+            nodes, marks = batch.column(0), batch.column(2)
+            for i, j, words in slices(batch.column(1), lower=True):
+                sets = [m.as_py() + x.tobytes() for m, x in zip(marks.slice(i, j - i), shingle_sets(words, n), strict=True)]
+                yield pa.RecordBatch.from_arrays([nodes.slice(i, j - i), pa.array(sets, pa.binary())], ["node", "content"])
+
+    return run
+
+
+def _sketches_of(contents: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    rows = np.frombuffer(b"".join(x[: 2 * _MARK.itemsize] for x in contents), _MARK).reshape(len(contents), 2)
+    return [(rows["c"][:, k], rows["s"][:, k]) for k in (0, 1)]
+
+
+def _test(percent: int):
+    """Hubs against members: by estimate on the size classes that they share, then by their full sets."""
+
+    def run(hubs: list, members: list, ask: np.ndarray) -> np.ndarray:
+        likely = np.zeros_like(ask)
+        of_hubs, of_members = _sketches_of(hubs), _sketches_of(members)
+        for hc, hs in of_hubs:
+            for mc, ms in of_members:
+                for k in np.flatnonzero(hc >= 0):
+                    m = np.flatnonzero((mc == hc[k]) & ask[k])
+                    if len(m):
+                        likely[k, m] |= _worth(hs[k], ms[m], percent)
+        out = np.zeros_like(ask)
+        wanted = np.flatnonzero(likely.any(0))
+        if not len(wanted):
+            return out
+        sets = [np.frombuffer(members[m], np.uint64, offset=2 * _MARK.itemsize) for m in wanted]
+        size = np.array([len(x) for x in sets])
+        known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.cumsum(size) - size
+        for k in np.flatnonzero(likely.any(1)):
+            mine = np.frombuffer(hubs[k], np.uint64, offset=2 * _MARK.itemsize)
+            place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            flag = np.zeros(len(known), np.int64)
+            flag[place[known[place] == mine]] = 1
+            both = np.add.reduceat(flag[ids], begin)
+            out[k, wanted] = (100 * both >= percent * (len(mine) + size - both)) & likely[k, wanted]
+        return out
+
+    return run
+
+
+def _confirm(percent: int):
+    test = _test(percent)
+
+    def run(batches):
+        yes = np.ones((1, 1), bool)
+        for batch in batches:
+            keep = [bool(test([a], [b], yes)[0, 0]) for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _exact(n: int, percent: int):
+def _promising(percent: int):
     def run(batches):
         for batch in batches:
             keep = []
-            a, b = batch.column("text_a"), batch.column("text_b")
-            for k in range(len(a)):
-                (x,), (y,) = (tuple(s for _, _, w in slices(c.slice(k, 1), lower=True) for s in shingle_sets(w, n)) for c in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = (np.frombuffer(z, _MARK) for z in (x, y))
+                keep.append(any(bool(_worth(x["s"][i], y["s"][j], percent)) for i in (0, 1) for j in (0, 1) if x["c"][i] == y["c"][j] >= 0))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -175,23 +230,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sketches = store.keep(texts.mapInArrow(_sketch(words), _SKETCHES), "sketches")
     known = sketches.where("doc_id is not null and digest is not null")
     classes = store.keep(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = known.select("digest", F.col("doc_id").alias("node"), *_PARTS).join(classes, ["digest", "node"]).dropDuplicates(["node"]).select("node", *_PARTS)
-    bands = nodes.mapInArrow(_bands, "key long, node long")
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = store.keep(bands.join(shared, "key").select("key", "node"), "buckets")
+    one = known.join(classes, known["doc_id"] == classes["node"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "mark")
+    nodes = store.keep(one, "nodes")
+    n_parts = min(60_000, max(parts(docs.sparkSession), nodes.count() * BANDS // PART_ENTRIES))
+    buckets = store.keep(dealt(nodes.mapInArrow(_bands(n_parts), KEY_PACKET), n_parts).mapInArrow(shared, "key long, node long"), "buckets")
     busy = buckets.select("node").distinct()
-    content = store.keep(texts.join(busy, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text").join(known.select(F.col("doc_id").alias("node"), *_PARTS).dropDuplicates(["node"]), "node"), "content")
+    near = texts.where("doc_id is not null").withColumn("tie", F.lit(0)).where(might_hold(filter_of(busy.select(F.col("node").alias("doc_id"), F.lit(0).alias("tie")))))
+    content = store.keep(near.dropDuplicates(["doc_id"]).join(busy, F.col("doc_id") == F.col("node")).select("node", "text").join(nodes, "node").mapInArrow(_content(words), "node long, content binary"), "content")
 
-    def sides(pairs: DataFrame, *names: str) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(content.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in names)), side)
+    def sides(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        for side, to in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(of.select(F.col("node").alias(side), F.col(name).alias(to)), side)
         return pairs
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        likely = sides(pairs, *_PARTS).mapInArrow(_promising(percent), "a long, b long")
-        return sides(likely, "text").mapInArrow(_exact(words, percent), "a long, b long")
+        likely = sides(pairs, nodes, "mark").mapInArrow(_promising(percent), "a long, b long")
+        return sides(likely, content, "content").mapInArrow(_confirm(percent), "a long, b long")
 
-    found = link(store, buckets, confirm)
+    found = link(store, buckets, confirm, content, _test(percent))
     named = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("c"))
     # a component is named after its smallest representative, which is its smallest doc_id
     out = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")

@@ -23,12 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packets import dealt, filter_of, might_hold, part_of
 from .store import Store, parts
 from .text import U, buffers, mix, roll, slices
 
 PART_ENTRIES = 1_000_000
-#: Bits of the filter that keeps documents without a meeting out of the second shuffle. Its size is fixed; a full one lets all through.
-FILTER_BITS = 1 << 23
 _INDEX, _MANY = U(1), U(2)
 
 
@@ -56,10 +55,6 @@ def _spread(sizes: np.ndarray) -> np.ndarray:
     return np.arange(end[-1] if len(end) else 0) - np.repeat(end - sizes, sizes)
 
 
-def _part_of(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> U(32)) * U(n) >> U(32)).astype(np.uint16 if n < 1 << 16 else np.uint32)
-
-
 _PACKET = "part int, chunk long, low binary, high binary, at_low binary, at_high binary, doc_ids binary, ties binary, first binary"
 
 
@@ -92,7 +87,7 @@ def _probe(block: int, n_parts: int):
                 h, at_sent, flag = s[send], at[order][send], flag[send]
                 by_place = np.argsort(at_sent, kind="stable")
                 h, at_sent, flag = h[by_place], at_sent[by_place], flag[by_place]
-                part = _part_of(h, n_parts)
+                part = part_of(h, n_parts)
                 by_part = np.argsort(part, kind="stable")
                 part, h, at_sent, flag = (x[by_part] for x in (part, h, at_sent, flag))
                 low = h.astype(np.uint32)
@@ -219,7 +214,7 @@ def _windows(window: int, block: int, n_parts: int):
                 new = np.ones(len(at), bool)
                 new[1:] = (hh[order][1:] != hh[order][:-1]) | (cc[order][1:] != cc[order][:-1])
                 first = np.sort(order[new])
-                part = _part_of(hh[first], n_parts)
+                part = part_of(hh[first], n_parts)
                 first = first[np.argsort(part, kind="stable")]
                 part = np.sort(part, kind="stable")
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
@@ -291,24 +286,6 @@ def _cut(window: int, with_text: bool):
     return run
 
 
-def _filter_of(keys: DataFrame) -> bytes:
-    """FILTER_BITS bits, of which a document's is set if it is among the keys: small and of fixed size whatever the number of keys."""
-    place = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(FILTER_BITS))
-    # 64 bits to a row, so at most FILTER_BITS / 64 rows come back
-    rows = keys.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).collect()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in rows:
-        words[r["word"]] = r["bits"]
-    return words.tobytes()
-
-
-def _might_hold(bits: bytes):
-    """Whether the filter holds a row's document."""
-    place = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(FILTER_BITS))
-    byte = F.conv(F.hex(F.substring(F.lit(bits), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0
-
-
 def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -> DataFrame:
     """One row (doc_id, n_words, n_removed, kept_sha256[, kept]) for each row of docs.
 
@@ -334,15 +311,15 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
     ranked = store.keep(ordered.orderBy("doc_id", "tie").withColumn("rank", F.monotonically_increasing_id()), "ranked")  # ids rise with the sort
     n_parts = min(60_000, max(parts(spark), total // PART_ENTRIES))
     packets = own.mapInArrow(_probe(block, n_parts), _PACKET)
-    met = _dealt(packets, n_parts).mapInArrow(_meet, _MET)
+    met = dealt(packets, n_parts).mapInArrow(_meet, _MET)
     anchors = met.groupBy("chunk").applyInArrow(_to_documents, "doc_id long, tie long, anchors binary")
     # of equal texts only the first is looked at: the others go whole
     wanted = store.keep(anchors.join(ranked.where("is_first").select("doc_id", "tie", "rank"), ["doc_id", "tie"]).dropDuplicates(["rank"]), "anchors")
-    near = own.where(_might_hold(_filter_of(wanted)))
+    near = own.where(might_hold(filter_of(wanted)))
     touched = store.keep(near.dropDuplicates(["doc_id", "tie"]).join(wanted, ["doc_id", "tie"]).select("rank", "text", "anchors"), "touched")
     entries = touched.agg(F.sum(F.length("anchors") / 4)).first()[0] or 0
     w_parts = min(60_000, max(parts(spark), int(entries * block) // PART_ENTRIES))
-    later = _dealt(touched.select("rank", "text", "anchors").mapInArrow(_windows(window, block, w_parts), _WINDOWS), w_parts).mapInArrow(_later_places, "rank long, starts binary")
+    later = dealt(touched.select("rank", "text", "anchors").mapInArrow(_windows(window, block, w_parts), _WINDOWS), w_parts).mapInArrow(_later_places, "rank long, starts binary")
     gathered = later.groupBy("rank").agg(F.collect_list("starts").alias("starts"))  # of one document's windows
     cut = touched.select("rank", "text").join(gathered, "rank").mapInArrow(_cut(window, with_text), _CUT)
     whole = (~F.coalesce("is_first", F.lit(False))) & (F.col("n_words") >= window)
@@ -358,10 +335,6 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
     return _results(docs, every, with_text)
 
 
-def _dealt(packets: DataFrame, n: int) -> DataFrame:
-    return packets.repartitionById(n, F.col("part")) if hasattr(packets, "repartitionById") else packets.repartition(n, "part")
-
-
 def _results(docs: DataFrame, rows: DataFrame, with_text: bool) -> DataFrame:
     doc_id = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id"))
     return rows.select(doc_id.alias("doc_id"), "n_words", "n_removed", "kept_sha256", *(["kept", "tie"] if with_text else []))
