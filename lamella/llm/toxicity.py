@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import Store
 from .text import U, slices
@@ -183,15 +184,20 @@ def train(docs: DataFrame, labels: DataFrame, usable_rows, terms=IDENTITY_TERMS,
     return fit([(np.frombuffer(r["places"], "<i4").astype(np.int64), r["y"]) for r in rows], features, swaps, fairness=fairness)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, predicted) of each row of docs, in its whole text. A null or empty text has the model's bias alone."""
+def score(docs: DataFrame, model: Model, flag_only: bool = False) -> DataFrame:
+    """(doc_id, score, predicted) of each row of docs, in its whole text; with flag_only all columns of docs and `_toxic`. A null or empty text has the model's bias alone."""
 
     def run(batches):
         for batch in batches:
-            for i, j, words in slices(batch.column(1), lower=True):
+            column = batch.column(batch.schema.get_field_index("text")).cast(pa.string())
+            for i, j, words in slices(column, lower=True):
                 s = model.scores(words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+                p = pa.array((s >= 0.5).astype(np.int32))
+                own = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*own.columns, p], [*own.schema.names, "_toxic"]) if flag_only else pa.RecordBatch.from_arrays([own.column(0), pa.array(s), p], ["doc_id", "score", "predicted"])
 
+    if flag_only:
+        return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_toxic", T.IntegerType())]))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
