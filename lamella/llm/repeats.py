@@ -233,34 +233,59 @@ def _windows(window: int, block: int, n_parts: int):
     return run
 
 
-def _later_places(batches):
-    """Of one hash part: every window but the first of its words, as (rank, starts)."""
+_REPLY = "part int, ranks binary, starts binary"
+
+
+def _later_places(n_parts: int):
+    """Of one hash part: every window but the first of its words, in packets for parts of the documents."""
 
     def told(rank: np.ndarray, start: np.ndarray):
-        order = np.lexsort((start, rank))
-        rank, start = rank[order], start[order]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(rank)) + 1, [len(rank)])) if len(rank) else np.zeros(1, int)
-        for k in range(0, len(cuts) - 1, 1000):
-            some = list(zip(cuts[k : k + 1000], cuts[k + 1 : k + 1001], strict=False))
-            yield pa.RecordBatch.from_arrays([pa.array([int(rank[a]) for a, _ in some], pa.int64()), pa.array([start[a:b].tobytes() for a, b in some], pa.binary())], ["rank", "starts"])
-
-    cols: tuple[list, list, list, list] = ([], [], [], [])
+        part = part_of(mix(rank.view(np.uint64)), n_parts)
+        order = np.argsort(part, kind="stable")
+        part, rank, start = part[order], rank[order], start[order]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else np.zeros(1, int)
+        take = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), take(rank), take(start)], ["part", "ranks", "starts"])
+
+    def run(batches):
+        cols: tuple[list, list, list, list] = ([], [], [], [])
+        settled: tuple[list, list] = ([], [])
+        for batch in batches:
+            for _, ranks, counts, starts, h, check in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                rank = np.repeat(np.frombuffer(ranks, np.int64), np.frombuffer(counts, np.uint32))
+                start = np.frombuffer(starts, np.uint32)
+                if h is None:
+                    settled[0].append(rank)
+                    settled[1].append(start)
+                else:
+                    for c, v in zip(cols, (rank, start, np.frombuffer(h, np.uint64), np.frombuffer(check, np.uint16)), strict=True):
+                        c.append(v)
+        if settled[0]:
+            yield from told(np.concatenate(settled[0]), np.concatenate(settled[1]))
+        if cols[0]:
+            rank, start, h, check = (np.concatenate(c) for c in cols)
+            order = np.lexsort((start, rank, check, h))
+            again = np.zeros(len(order), bool)
+            again[1:] = (h[order][1:] == h[order][:-1]) & (check[order][1:] == check[order][:-1])
+            again = order[again]
+            yield from told(rank[again], start[again])
+
+    return run
+
+
+def _gather(batches):
+    """Of one part of the documents: (rank, starts) of each document."""
+    ranks, starts = [], []
     for batch in batches:
-        for _, ranks, counts, starts, h, check in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-            rank = np.repeat(np.frombuffer(ranks, np.int64), np.frombuffer(counts, np.uint32))
-            start = np.frombuffer(starts, np.uint32)
-            if h is None:
-                yield from told(rank, start)
-            else:
-                for c, v in zip(cols, (rank, start, np.frombuffer(h, np.uint64), np.frombuffer(check, np.uint16)), strict=True):
-                    c.append(v)
-    if cols[0]:
-        rank, start, h, check = (np.concatenate(c) for c in cols)
-        order = np.lexsort((start, rank, check, h))
-        again = np.zeros(len(order), bool)
-        again[1:] = (h[order][1:] == h[order][:-1]) & (check[order][1:] == check[order][:-1])
-        again = order[again]
-        yield from told(rank[again], start[again])
+        ranks.extend(batch.column(1).to_pylist())
+        starts.extend(batch.column(2).to_pylist())
+    rank, start = _join(ranks, np.int64), _join(starts, np.uint32)
+    order = np.lexsort((start, rank))
+    rank, start = rank[order], start[order]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(rank)) + 1, [len(rank)])) if len(rank) else np.zeros(1, int)
+    for k in range(0, len(cuts) - 1, 1000):
+        some = list(zip(cuts[k : k + 1000], cuts[k + 1 : k + 1001], strict=False))
+        yield pa.RecordBatch.from_arrays([pa.array([int(rank[a]) for a, _ in some], pa.int64()), pa.array([start[a:b].tobytes() for a, b in some], pa.binary())], ["rank", "starts"])
 
 
 _CUT = "rank long, n_removed long, kept_sha256 string, kept string"
@@ -273,7 +298,7 @@ def _cut(window: int, with_text: bool):
             for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = text.encode().split()
                 change = np.zeros(len(words) + 1, np.int64)
-                at = np.unique(np.frombuffer(b"".join(starts), np.uint32)).astype(np.int64)
+                at = np.unique(np.frombuffer(starts, np.uint32)).astype(np.int64)
                 change[at] += 1
                 np.subtract.at(change, at + window, 1)
                 gone = np.cumsum(change)[:-1] > 0
@@ -319,8 +344,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
     touched = store.keep(near.dropDuplicates(["doc_id", "tie"]).join(wanted, ["doc_id", "tie"]).select("rank", "text", "anchors"), "touched")
     entries = touched.agg(F.sum(F.length("anchors") / 4)).first()[0] or 0
     w_parts = min(60_000, max(parts(spark), int(entries * block) // PART_ENTRIES))
-    later = dealt(touched.select("rank", "text", "anchors").mapInArrow(_windows(window, block, w_parts), _WINDOWS), w_parts).mapInArrow(_later_places, "rank long, starts binary")
-    gathered = later.groupBy("rank").agg(F.collect_list("starts").alias("starts"))  # of one document's windows
+    windows = touched.select("rank", "text", "anchors").mapInArrow(_windows(window, block, w_parts), _WINDOWS)
+    gathered = dealt(dealt(windows, w_parts).mapInArrow(_later_places(w_parts), _REPLY), w_parts).mapInArrow(_gather, "rank long, starts binary")
     cut = touched.select("rank", "text").join(gathered, "rank").mapInArrow(_cut(window, with_text), _CUT)
     whole = (~F.coalesce("is_first", F.lit(False))) & (F.col("n_words") >= window)
     nothing = hashlib.sha256(b"").hexdigest()
