@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from unicodedata import normalize
 
 GENERATION = 250_000
 _PUNCTUATION = frozenset(b".,;:!?")
@@ -30,7 +31,7 @@ class ChunkEncoder:
         mark = b""
         if chunk[-1] in _PUNCTUATION and len(chunk) > 1:
             chunk, mark = chunk[:-1], chunk[-1:]
-            if not chunk.decode("utf-8", "replace").isalpha():
+            if not chunk.isalpha() and not normalize("NFC", chunk.decode("utf-8", "replace")).lower().isalpha():
                 return chunk + mark, b""
         return (chunk.lower() if chunk.isascii() and chunk.isalpha() else chunk), mark
 
