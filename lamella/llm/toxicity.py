@@ -115,10 +115,10 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + np.bincount(t, self.weights[p], minlength=n))))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], features: np.ndarray, swaps: list[list[list[int]]], ridge: float = 0.02, fairness: float = 1.0, steps: int = 400) -> Model:
+def fit(rows: list[tuple[np.ndarray, int]], features: np.ndarray, swaps: list[list[list[int]]], ridge: float = 0.0005, fairness: float = 1.0, positive: float = 2.0, steps: int = 400) -> Model:
     """rows: (places of a text's features, label). swaps: sets of terms, each the places of a term's features.
 
-    Minimises the mean log loss + ridge |w|^2 / 2 + fairness * the mean squared
+    Minimises the mean log loss (toxic rows weighing `positive`) + ridge |w|^2 / 2 + fairness * the mean squared
     change of the raw score over counterfactuals, by accelerated gradient steps.
     """
     y = np.array([r[1] for r in rows], float)
@@ -140,15 +140,29 @@ def fit(rows: list[tuple[np.ndarray, int]], features: np.ndarray, swaps: list[li
                             n_swaps += 1
     a, b = (np.array(c, np.int64).reshape(-1, 2).T for c in (ca, cb))
     w, bias, vw, vb = np.zeros(len(features)), prior, np.zeros(len(features)), 0.0
-    rate = 4.0 / max(1.0, float(np.sqrt(np.bincount(t).max())))
+    n, size = len(rows), len(w)
+
+    def swapped(x: np.ndarray) -> np.ndarray:
+        """The gradient of half the mean squared change at x."""
+        if not n_swaps:
+            return np.zeros(size)
+        change = np.bincount(b[0], x[b[1]], minlength=n_swaps) - np.bincount(a[0], x[a[1]], minlength=n_swaps)
+        return (np.bincount(b[1], change[b[0]], minlength=size) - np.bincount(a[1], change[a[0]], minlength=size)) / n_swaps
+
+    # the largest curvature, by power iteration on an upper bound of the second derivative
+    x, xb, top = np.ones(size), 1.0, 1.0
+    for _ in range(30):
+        norm = float(np.sqrt(x @ x + xb * xb))
+        x, xb = x / norm, xb / norm
+        e = 0.25 * (xb + np.bincount(t, x[p], minlength=n)) / n
+        x, xb = np.bincount(p, e[t], minlength=size) + ridge * x + 2 * fairness * swapped(x), float(e.sum())
+        top = float(np.sqrt(x @ x + xb * xb))
+    rate, weight = 0.9 / (top * max(1.0, positive)), np.where(y == 1, positive, 1.0)
     for step in range(steps):
         m = step / (step + 3)
         lw, lb = w + m * vw, bias + m * vb
-        e = 1 / (1 + np.exp(-np.clip(lb + np.bincount(t, lw[p], minlength=len(rows)), -40, 40))) - y
-        gw = np.bincount(p, e[t], minlength=len(w)) / len(rows) + ridge * lw / 10
-        if n_swaps and fairness:
-            change = np.bincount(b[0], lw[b[1]], minlength=n_swaps) - np.bincount(a[0], lw[a[1]], minlength=n_swaps)
-            gw += 2 * fairness / n_swaps * (np.bincount(b[1], change[b[0]], minlength=len(w)) - np.bincount(a[1], change[a[0]], minlength=len(w)))
+        e = (1 / (1 + np.exp(-np.clip(lb + np.bincount(t, lw[p], minlength=n), -40, 40))) - y) * weight
+        gw = np.bincount(p, e[t], minlength=size) / n + ridge * lw + 2 * fairness * swapped(lw)
         vw, vb = m * vw - rate * gw, m * vb - rate * e.mean()
         w, bias = w + vw, bias + vb
     return Model(features, w, float(bias))
