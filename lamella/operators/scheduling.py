@@ -60,3 +60,24 @@ def fair_order(queue: DataFrame, worker: str, session: str, seq: str, burst: int
     first = F.min(seq).over(Window.partitionBy(worker, session))
     out = queue.withColumn("turn", turn).withColumn("_first", first)
     return out.withColumn("position", F.row_number().over(Window.partitionBy(worker).orderBy("turn", "_first", session, seq))).drop("_first")
+
+
+def segmented(accesses: DataFrame, partition: str, seq: str, key: str, viewport: str, entries: int) -> DataFrame:
+    """(partition, seq, hit, evicted) of a cache whose tiles of the current viewport are protected: others are evicted first, either kind oldest first. A new viewport leaves the old one's tiles unprotected."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: dict = {}
+        out = []
+        for n, row in enumerate(pdf.sort_values(seq).itertuples(index=False)):
+            k, v = getattr(row, key), getattr(row, viewport)
+            hit, evicted = k in held, None
+            held[k] = n, v
+            if len(held) > entries:
+                evicted = min((x for x in held if x != k), key=lambda x: (held[x][1] == v, held[x][0]))
+                del held[evicted]
+            out.append((getattr(row, partition), getattr(row, seq), hit, evicted))
+        out = pd.DataFrame(out, columns=[partition, seq, "hit", "evicted"])
+        out["evicted"] = out["evicted"].astype("Int64")
+        return out
+
+    return accesses.select(partition, seq, key, viewport).groupBy(partition).applyInPandas(run, f"{partition} long, {seq} long, hit boolean, evicted long")

@@ -111,3 +111,29 @@ def test_generation_stream(spark, tmp_path):
     q.stop()
     got = {(r.payload, r.decision) for r in spark.table("gen").collect()}
     assert got == {("a", "publish"), ("b", "publish"), ("c", "discard-stale"), ("d", "publish")}
+
+
+def test_artifacts(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from lamella.sources import artifacts as a
+
+    digest = hashlib.sha256(b"x").hexdigest()
+    text = f'[[entry]]\nsha256 = "{digest}"\npath = "a.pdf"\ntier = "T1"\npage_count = 3\nlicense_expression = "MIT"\nfeatures = ["b", "a", "b"]\n'
+    entries = a.manifest(spark, text)
+    assert entries.first().features == ["a", "b"] and a.manifest_lines(entries).first().line.startswith('{"sha256"')
+    objects = spark.createDataFrame([("a.pdf", b"y")], "path string, content binary")
+    assert a.verify(entries, objects).first().outcome == "mismatch"
+    line = a.pixel_line(1, 2, b"\1\2\3\4\5\6\7\x08")
+    got = spark.createDataFrame([(line,), ('{"width":1,"height":1,"rgba_hex":"00"}',)], "s string").select(a.pixels(F.col("s")).alias("p")).collect()
+    assert bytes(got[0].p.rgba) == b"\1\2\3\4\5\6\7\x08" and got[1].p is None
+    assert a.png(1, 2, b"\1\2\3\4\5\6\7\x08")[:8] == b"\x89PNG\r\n\x1a\n"
+
+
+def test_segmented_cache(spark):
+    from lamella.operators.scheduling import segmented
+
+    df = spark.createDataFrame([(1, i, k, v) for i, (k, v) in enumerate([(10, 0), (11, 1), (12, 1), (13, 1), (11, 1)])], "p long, s long, k long, v long")
+    assert [(r.hit, r.evicted) for r in segmented(df, "p", "s", "k", "v", 3).orderBy("s").collect()] == [(False, None), (False, None), (False, None), (False, 10), (True, None)]
