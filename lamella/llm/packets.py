@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .text import U, mix
 
 #: Bits of the filter that keeps documents without a meeting out of the second shuffle. Its size is fixed; a full one lets all through.
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 22
 
 
 def part_of(h: np.ndarray, n: int) -> np.ndarray:

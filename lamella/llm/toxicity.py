@@ -22,7 +22,7 @@ from .text import U, slices
 
 PREFIXES = (4, 5, 6)
 #: Rows that the model is fitted on, at most, and features that it has, at most.
-SAMPLE_ROWS, FEATURES, LEAST_TEXTS, LEAST_Z = 16384, 4096, 4, 4.0
+SAMPLE_ROWS, FEATURES, LEAST_TEXTS, LEAST_CHI = 16384, 4096, 4, 24.0
 #: Sets of terms that may stand for one another.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
@@ -177,9 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, usable_rows, terms=IDENTITY_TERMS,
     texts = store.keep(own.join(F.broadcast(sample), "doc_id").select("text", "y"), "texts")  # at most sample_rows rows of 12 bytes are broadcast
     n1, n0 = texts.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     counts = texts.mapInArrow(_count, "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    # log odds ratio over its standard error
-    z = (F.log((F.col("n1") + 0.5) / (n1 - F.col("n1") + 0.5)) - F.log((F.col("n0") + 0.5) / (n0 - F.col("n0") + 0.5))) / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    best = counts.where(F.col("n1") + F.col("n0") >= LEAST_TEXTS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature").collect()
+    # the chi-squared statistic of having the feature against the label
+    n = float(n1 + n0)
+    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
+    chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n - a - b + 1e-9) * max(n1, 0.5) * max(n0, 0.5))
+    best = counts.where(F.col("n1") + F.col("n0") >= LEAST_TEXTS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "feature").limit(FEATURES).select("feature").collect()
     term_hashes = [[_one_word(x) for x in group] for group in terms]
     mine = {h for group in term_hashes for t in group for h in t if h}
     features = np.array(sorted({r["feature"] & 0xFFFFFFFFFFFFFFFF for r in best} | mine), np.uint64)
