@@ -11,10 +11,17 @@ import os
 from array import array
 from unicodedata import normalize
 
+import numpy as np
+
 GENERATION = 250_000
 _PUNCTUATION = frozenset(b".,;:!?")
 
 
+def _letters(chunk: bytes) -> bool:
+    """Whether the tokenizer sees nothing but letters in a chunk."""
+    return chunk.isalpha() or not chunk.isascii() and normalize("NFC", chunk.decode("utf-8", "replace")).lower().isalpha()
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -22,6 +29,9 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self._encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.is_end[i] = token.endswith("</w>")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -31,10 +41,20 @@ class ChunkEncoder:
         mark = b""
         if chunk[-1] in _PUNCTUATION and len(chunk) > 1:
             chunk, mark = chunk[:-1], chunk[-1:]
-            if not chunk.isalpha() and not normalize("NFC", chunk.decode("utf-8", "replace")).lower().isalpha():
+            if not _letters(chunk):
                 return chunk + mark, b""
         return (chunk.lower() if chunk.isascii() and chunk.isalpha() else chunk), mark
 
+    def _encode_words(self, words: list[bytes]) -> None:
+        """Many words of letters in one text: each ends with the one token of its own that has the vocabulary's end mark."""
+        for k in range(0, len(words), 4_000):
+            some = words[k : k + 4_000]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(some):  # else they are encoded one by one
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                self.young.update(zip(some, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+
     def _learn(self, chunks: set[bytes]) -> None:
         young, old, cores, new = self.young, self.old, {}, set()
         for c in chunks:
@@ -43,8 +63,11 @@ class ChunkEncoder:
                 continue
             cores[c] = self._core(c)
             new.update(x for x in cores[c] if x and x not in young and x not in old)
-        for k in range(0, len(keys := list(new)), 20_000):
-            some = keys[k : k + 20_000]
+        words = [x for x in new if _letters(x)]
+        self._encode_words(words)
+        rest = [x for x in new if x not in young]
+        for k in range(0, len(rest), 20_000):
+            some = rest[k : k + 20_000]
             for c, e in zip(some, self._encode([x.decode() for x in some], add_special_tokens=False), strict=True):
                 young[c] = array("I", e.ids).tobytes()
         get = lambda x: young.get(x) or old.get(x, b"") if x else b""
