@@ -17,7 +17,7 @@ from .text import U, Words, constants, mix, roll, slices
 
 BANDS, ROWS = 42, 6
 K = BANDS * ROWS
-PART_ENTRIES = 1_000_000
+PART_ENTRIES = 500_000
 #: Size class c takes sets of 4^c to 1.25 * 4^(c+1) elements. Two sets at similarity 0.8 differ by at most a
 #: fifth in size, so they share a class; sets in the overlap get a sketch for either.
 CLASSES = 24

@@ -27,7 +27,7 @@ from .packets import dealt, filter_of, might_hold, part_of
 from .store import Store, parts
 from .text import U, buffers, mix, roll, slices
 
-PART_ENTRIES = 1_000_000
+PART_ENTRIES = 500_000
 _INDEX, _MANY = U(1), U(2)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GENERATION = 200_000
+GENERATION = 20_000
 SPACE = "▁"
 
 

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset (tests, local mode), a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -24,6 +27,9 @@ class Store:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lamella-{name}-{uuid.uuid4().hex}"
         self._n = 0
+        # whole texts go to Python: the default of 10000 rows a batch is tens of megabytes for each of several copies
+        if spark.conf.get(_BATCH, "10000") == "10000":
+            spark.conf.set(_BATCH, "2000")
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1

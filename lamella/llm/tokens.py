@@ -13,7 +13,7 @@ from unicodedata import normalize
 
 import numpy as np
 
-GENERATION = 250_000
+GENERATION = 150_000
 _PUNCTUATION = frozenset(b".,;:!?")
 
 
