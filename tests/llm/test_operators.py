@@ -282,6 +282,33 @@ def test_lines(docs, empty, texts):
     assert line_repeats(empty).count() == 0 and without_repeats(empty).count() == 0
 
 
+def test_edits_grow_with_the_line(spark):
+    """A replaced word, and edits spread evenly, up to the longer line's bytes // 32 and no further; lines of all classes and on their bounds."""
+    from lamella.llm.lines import line_repeats, within
+
+    rng = random.Random(12)
+    lines, pairs = [], []
+    for size in [*range(92, 101), 127, 128, 200, *range(246, 268), 400, 1000, 3000]:
+        for t, spread in ((size // 32, True), (size // 32, False), (size // 32 + 1, True)):
+            a = [rng.choice("abcdefghijklmnop ") for _ in range(size)]
+            b, first = list(a), rng.randrange(size - t)
+            for k in range(t):
+                at = size * (2 * k + 1) // (2 * t) if spread else first + k
+                b[at] = rng.choice("QRSTUV") if (k + size) % 3 else ("" if spread else "Q")
+            a, b = "".join(a), "".join(b)
+            lines += [a, b]
+            pairs.append((a.encode(), b.encode()))
+    want = [distance(a, b) <= max(2, len(a) // 32) if len(a) < 1000 else None for a, b in pairs]
+    got = within(pairs, 2, 32)
+    assert [w if w is None else bool(g) for w, g in zip(want, got, strict=True)] == want and sum(map(bool, want)) > 60 and False in want
+    rows = line_repeats(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)).collect()
+    assert [r.doc_id for r in sorted(rows) if r.n_near] == [2 * k + 1 for k in range(len(pairs)) if got[k]]
+    text = " ".join(words(rng, 40, 500))
+    two = spark.createDataFrame([(1, text), (2, text.replace(text.split()[20], "changed", 1))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_near) for r in line_repeats(two).collect()) == [(1, 0), (2, 1)]
+    assert not any(r.n_near for r in line_repeats(two, share=0).collect())
+
+
 def cut(rows, window):
     first, out = set(), {}
     for i, t in rows:
