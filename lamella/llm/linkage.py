@@ -1,100 +1,170 @@
 """Components of the links among nodes that share buckets, without writing out all pairs of a bucket.
 
-A bucket only proposes pairs; ``confirm`` decides them. The first round tests
-each bucket's smallest node against the others. Whatever is then in one
-component needs no further test. Later rounds test growing numbers of further
-hubs of those buckets that still hold several components, against members of
-other components only. A hub has met all of its bucket and leaves it, so the
-rounds end when every proposed pair lies inside a component or has been tested:
-no link that could join two components is lost, and no bucket is ever gathered.
-Large buckets are dealt in blocks, each with its own copy of the bucket's hubs.
+A bucket only proposes pairs; a test decides them. Round 0 tests each bucket's
+smallest node, its hub, against the others; buckets with one hub are one there.
+Whatever is then in one component needs no further test. Later rounds
+look at buckets that still hold several components and test growing numbers
+of hubs, taken from outside a bucket's largest component, against members of other
+components. A hub has met all of its bucket and leaves it, so the rounds
+end when every proposed pair lies inside a component or has been tested: no
+link that could join two components is lost, and no bucket is ever gathered.
+
+Members of large buckets are dealt in blocks, hubs likewise; a task holds one
+block's hubs and streams the members past them. Where nodes have sketches, these
+are compared first, and contents go only to the blocks where a sketch says that a pair is likely.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .store import Store
 
-FIRST_HUBS, MORE_HUBS, BLOCK_ROWS = 64, 16, 1024
-#: Takes the contents of some hubs and of some members and which pairs (hub, member) to test; tells which of these are links.
-Test = Callable[[list, list, np.ndarray], np.ndarray]
+FIRST_HUBS, MORE_HUBS, HUB_BLOCK, BLOCK_ROWS = 64, 16, 256, 4096
+#: So many asked pairs are tested together.
+TOGETHER = 20_000
+#: Takes (contents of hubs, contents of members, which pairs (hub, member) to test) of some blocks; tells which of these pass.
+Block = tuple[list, list, np.ndarray]
+Test = Callable[[list[Block]], list[np.ndarray]]
 
 
-def _groups(batches):
-    """Tables of rows with equal first two columns, from sorted batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
+class _Rows:
+    """Some rows (key, hubs' block, members' block, node, component, hub, content) of one block."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches)
+        self.place = tuple(table.column(k)[0].as_py() for k in range(3))
+        self.node, self.c = (table.column(k).to_numpy() for k in (3, 4))
+        self.content = table.column(6).to_pylist()
+
+
+def _met(batches) -> Iterator[tuple[_Rows, _Rows]]:
+    """(hubs, members) of blocks in sorted rows, hubs before members; a block's members come in runs of a batch."""
+    last, found, hubs = None, [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = [0, *(np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0)) + 1).tolist(), len(x)]
+        head = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 5)]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for x in head:
+            change |= x[1:] != x[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and (x[a], y[a]) != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = x[a], y[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
+            place = tuple(x[a] for x in head[:3])
+            if place != last:
+                last, found, hubs = place, [], None
+            rows = batch.slice(a, b - a)
+            if head[3][a]:
+                found.append(rows)
+            elif found:
+                hubs = hubs or _Rows(found)
+                yield hubs, _Rows([rows])
+
+
+def _tested(batches, test: Test) -> Iterator[tuple[_Rows, _Rows, np.ndarray]]:
+    """(hubs, members, which pairs pass) of blocks, pairs of unlike components alone being asked."""
+    waiting, asked = [], 0
+
+    def done():
+        answers = test([(h.content, m.content, ok) for h, m, ok in waiting])
+        return [(h, m, ok) for (h, m, _), ok in zip(waiting, answers, strict=True) if ok.any()]
+
+    for hubs, members in _met(batches):
+        ok = hubs.c[:, None] != members.c
+        if ok.any():
+            waiting.append((hubs, members, ok))
+            asked += int(ok.sum())
+        if asked >= TOGETHER:
+            yield from done()
+            waiting, asked = [], 0
+    if waiting:
+        yield from done()
+
+
+def _likely(test: Test):
+    """Rows (key, hubs' block, members' block, node, c, hub) of hubs and members in pairs that pass; a hub once for each run of members."""
 
+    def run(batches):
+        for hubs, members, ok in _tested(batches, test):
+            h, m = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+            n = len(h) + len(m)
+            key, i, j = hubs.place
+            places = [np.full(n, key), np.full(n, i, np.int32), np.full(n, j, np.int32)]
+            own = [np.concatenate((hubs.node[h], members.node[m])), np.concatenate((hubs.c[h], members.c[m])), np.arange(n) < len(h)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in places + own], ["key", "i", "j", "node", "c", "hub"])
+
+    return run
 
-def _meet(test: Test):
-    """Of sorted rows (key, block, node, c, hub, content): links between a hub and a member of the same block and another component."""
 
+def _links(test: Test):
     def run(batches):
-        for rows in _groups(batches):
-            node, c, hub = (rows.column(k).to_numpy() for k in (2, 3, 4))
-            h, m = np.flatnonzero(hub), np.flatnonzero(~hub)
-            ok = c[h][:, None] != c[m]
-            if ok.any():
-                content = rows.column(5)
-                ok = test(content.take(pa.array(h)).to_pylist(), content.take(pa.array(m)).to_pylist(), ok)
-                i, j = np.nonzero(ok)
-                if len(i):
-                    yield _pairs([node[h[i]]], [node[m[j]]])
+        for hubs, members, ok in _tested(batches, test):
+            h, m = np.nonzero(ok)
+            x, y = hubs.node[h], members.node[m]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     return run
 
 
-def _pairs(left: list, right: list) -> pa.RecordBatch:
-    x, y = np.concatenate(left), np.concatenate(right)
-    both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
+def _dealt(active: DataFrame, is_hub: Column, hub_blocks: Column, blocks: Column) -> DataFrame:
+    """Rows (key, i, j, node, c, hub) of active rows: as a member in its own block of members, for every block of hubs; as a hub the other way round."""
+    none = F.expr("cast(array() as array<struct<i: int, j: int, hub: boolean>>)")
+    own_i, own_j = (F.pmod(F.xxhash64("node", F.lit(k)), b).cast("int") for k, b in ((1, hub_blocks), (2, blocks)))
+    as_member = F.transform(F.sequence(F.lit(0), hub_blocks - 1), lambda i: F.struct(i.alias("i"), own_j.alias("j"), F.lit(False).alias("hub")))
+    as_hub = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(own_i.alias("i"), j.alias("j"), F.lit(True).alias("hub")))
+    places = F.concat(as_member, F.when(is_hub, as_hub).otherwise(none))
+    return active.select("key", "node", "c", F.explode(places).alias("p")).select("key", "p.i", "p.j", "node", "c", "p.hub")
 
 
-def link(store: Store, buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], content: DataFrame, test: Test) -> DataFrame:
-    """(node, component) of the nodes that confirmed links join.
+def _blocks(n: Column, rows: int) -> Column:
+    return F.ceil(n / rows).cast("int")
+
+
+def link(store: Store, buckets: DataFrame, content: DataFrame, test: Test, sketch: DataFrame | None = None, likely: Test | None = None) -> DataFrame:
+    """(node, component) of the nodes that links join.
 
     buckets: kept table (key, node), rows distinct, each key with two nodes or more.
-    confirm: takes (a, b) with a < b, distinct, and returns those that are links.
-    content: kept table (node, content) for test, which decides pairs of a block of a bucket.
+    content: kept table (node, content) for test, which decides pairs.
+    sketch: kept table (node, content) for likely, which must pass every pair that test passes.
     """
+
+    def decided(rows: DataFrame) -> DataFrame:
+        def meet(rows: DataFrame, of: DataFrame, run, schema: str) -> DataFrame:
+            full = rows.join(of, "node").select("key", "i", "j", "node", "c", "hub", "content")
+            return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("hub")).mapInArrow(run, schema).distinct()
+
+        some = None
+        if sketch is not None:
+            rows = some = store.keep(meet(rows, sketch, _likely(likely), "key long, i int, j int, node long, c long, hub boolean"), "likely")
+        out = store.keep(meet(rows, content, _links(test), "a long, b long"), "links")
+        if some is not None:
+            store.drop(some)
+        return out
+
     hub = buckets.groupBy("key").agg(F.min("node").alias("hub"))
     starred = store.keep(buckets.join(hub, "key").where("node <> hub").select("key", "node", "hub"), "stars")
-    links = store.keep(confirm(starred.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "links")
-    rest, found, hubs, round_no = starred.select("key", "node"), components(store, links), FIRST_HUBS, 1
+    pairs = starred.select(F.col("hub").alias("key"), "node").distinct()
+    size = pairs.groupBy("key").agg(F.count("*").alias("n"))
+    own = size.select("key", F.col("key").alias("node"), "n")
+    star = pairs.join(size, "key").select("key", "node", "n").unionByName(own).withColumn("c", F.col("node"))
+    links = decided(_dealt(star, F.expr("node = key"), F.lit(1), _blocks(F.col("n"), BLOCK_ROWS)))
+    found, rest, hubs, round_no = components(store, links), starred.select("key", "node"), FIRST_HUBS, 1
     while True:
         member = rest.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        state = member.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        active = store.keep(member.join(state.select("key", "n"), "key"), "active")
+        each = member.groupBy("key", "c").agg(F.count("*").alias("n"))
+        state = each.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("several")).where("several > 1")
+        active = store.keep(member.join(state.select("key", "n", F.col("top.c").alias("top"), (F.col("n") - F.col("top.n")).alias("others")), "key"), "active")
         if active.isEmpty():
             return found
-        is_hub = F.expr(f"pmod(xxhash64(node, {round_no}), greatest(1, n div {hubs})) = 0")
-        blocks = F.floor((F.col("n") + BLOCK_ROWS - 1) / BLOCK_ROWS).cast("int")
-        filled = active.join(content, "node")
-        one = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        # a member goes to its own block; a hub, besides, to every block of the bucket
-        places = F.concat(F.array(F.struct(one.alias("block"), F.lit(False).alias("hub"))), F.when(is_hub, F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("hub")))).otherwise(F.expr("cast(array() as array<struct<block: int, hub: boolean>>)")))
-        dealt = filled.select("key", "node", "c", "content", F.explode(places).alias("p")).select("key", "p.block", "node", "c", "p.hub", "content")
-        good = store.keep(dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_meet(test), "a long, b long").distinct(), "links")
+        is_hub = F.expr(f"c <> top and pmod(xxhash64(node, {round_no}), greatest(1, others div {hubs})) = 0")
+        rows = _dealt(active, is_hub, _blocks(F.least(F.col("others"), F.lit(2 * hubs)), HUB_BLOCK), _blocks(F.col("n"), BLOCK_ROWS))
+        good = decided(rows)
         if not good.isEmpty():
             stars = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
             found = components(store, stars.unionByName(good))

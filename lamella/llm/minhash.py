@@ -85,6 +85,10 @@ def _band_keys(sketch: np.ndarray, tag: int) -> np.ndarray:
 _SKETCHES = "doc_id long, n_shingles long, digest binary, mark binary"
 
 
+def _digest(x: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None
+
+
 def _sketch(n: int):
     def run(batches):
         for batch in batches:
@@ -93,7 +97,7 @@ def _sketch(n: int):
                 size, digest, mark = [], [], []
                 for x in shingle_sets(words, n):
                     size.append(len(x))
-                    digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
+                    digest.append(_digest(x))
                     two = np.zeros(2, _MARK)
                     two["c"] = -1
                     for k, c in enumerate(size_classes(len(x))):
@@ -137,78 +141,55 @@ def _worth(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
 _MARK = np.dtype([("c", np.int32), ("s", np.uint16, K)])
 
 
-def _content(n: int):
-    """(node, content): the two sketches and then the sorted shingle hashes."""
+def _sets(n: int):
+    """(digest, sorted shingle hashes) of each text."""
 
     def run(batches):
         for batch in batches:
-            nodes, marks = batch.column(0), batch.column(2)
-            for i, j, words in slices(batch.column(1), lower=True):
-                sets = [m.as_py() + x.tobytes() for m, x in zip(marks.slice(i, j - i), shingle_sets(words, n), strict=True)]
-                yield pa.RecordBatch.from_arrays([nodes.slice(i, j - i), pa.array(sets, pa.binary())], ["node", "content"])
+            for _, _, words in slices(batch.column(0), lower=True):
+                sets = list(shingle_sets(words, n))
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["digest", "content"])
 
     return run
 
 
-def _sketches_of(contents: list) -> list[tuple[np.ndarray, np.ndarray]]:
-    rows = np.frombuffer(b"".join(x[: 2 * _MARK.itemsize] for x in contents), _MARK).reshape(len(contents), 2)
-    return [(rows["c"][:, k], rows["s"][:, k]) for k in (0, 1)]
+def _likely(percent: int):
+    """Hubs against members by estimate, on the size classes that they share."""
+
+    def one(hubs: list, members: list, ask: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(ask)
+        h, m = (np.frombuffer(b"".join(x), _MARK).reshape(len(x), 2) for x in (hubs, members))
+        for i in (0, 1):
+            for k in np.flatnonzero(h["c"][:, i] >= 0):
+                for j in (0, 1):
+                    to = np.flatnonzero((m["c"][:, j] == h["c"][k, i]) & ask[k])
+                    if len(to):
+                        out[k, to] |= _worth(h["s"][k, i], m["s"][to, j], percent)
+        return out
+
+    return lambda blocks: [one(*block) for block in blocks]
 
 
 def _test(percent: int):
-    """Hubs against members: by estimate on the size classes that they share, then by their full sets."""
-
-    def run(hubs: list, members: list, ask: np.ndarray) -> np.ndarray:
-        likely = np.zeros_like(ask)
-        of_hubs, of_members = _sketches_of(hubs), _sketches_of(members)
-        for hc, hs in of_hubs:
-            for mc, ms in of_members:
-                for k in np.flatnonzero(hc >= 0):
-                    m = np.flatnonzero((mc == hc[k]) & ask[k])
-                    if len(m):
-                        likely[k, m] |= _worth(hs[k], ms[m], percent)
+    """Hubs against members by their full sets."""
+
+    def one(hubs: list, members: list, ask: np.ndarray) -> np.ndarray:
         out = np.zeros_like(ask)
-        wanted = np.flatnonzero(likely.any(0))
-        if not len(wanted):
-            return out
-        sets = [np.frombuffer(members[m], np.uint64, offset=2 * _MARK.itemsize) for m in wanted]
+        wanted = np.flatnonzero(ask.any(0))
+        sets = [np.frombuffer(members[m], np.uint64) for m in wanted]
         size = np.array([len(x) for x in sets])
         known, ids = np.unique(np.concatenate(sets), return_inverse=True)
         begin = np.cumsum(size) - size
-        for k in np.flatnonzero(likely.any(1)):
-            mine = np.frombuffer(hubs[k], np.uint64, offset=2 * _MARK.itemsize)
+        for k in np.flatnonzero(ask.any(1)):
+            mine = np.frombuffer(hubs[k], np.uint64)
             place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
             flag = np.zeros(len(known), np.int64)
             flag[place[known[place] == mine]] = 1
             both = np.add.reduceat(flag[ids], begin)
-            out[k, wanted] = (100 * both >= percent * (len(mine) + size - both)) & likely[k, wanted]
+            out[k, wanted] = (100 * both >= percent * (len(mine) + size - both)) & ask[k, wanted]
         return out
 
-    return run
-
-
-def _confirm(percent: int):
-    test = _test(percent)
-
-    def run(batches):
-        yes = np.ones((1, 1), bool)
-        for batch in batches:
-            keep = [bool(test([a], [b], yes)[0, 0]) for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _promising(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = (np.frombuffer(z, _MARK) for z in (x, y))
-                keep.append(any(bool(_worth(x["s"][i], y["s"][j], percent)) for i in (0, 1) for j in (0, 1) if x["c"][i] == y["c"][j] >= 0))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+    return lambda blocks: [one(*block) for block in blocks]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,10 +197,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     Documents link if 100 * |A & B| >= percent * |A | B| over their sets of
     ``words``-word shingles (A-Z lower-cased; fewer words: the whole sequence).
-    Rows with equal sets are one node. A text that is null or has no word has
+    Rows with equal sets are one node, named after its smallest doc_id, a component after its nodes' smallest one.
+    Different texts under one doc_id are nodes of their own, and each row tells its own text's component. A text that is null or has no word has
     an empty set and links with nothing; a null doc_id links with nothing and
-    is its own (null) component, kept. Repeated rows each get a row. Other
-    columns are ignored.
+    is its own (null) component, kept. Repeated rows each get a row; an empty table gives none. Other
+    columns are ignored, whatever their names.
 
     percent must be 80 or more: size classes overlap for sizes that differ by a fifth.
     """
@@ -227,29 +209,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         raise ValueError("percent must be 80 or more")
     store = Store(docs.sparkSession, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = store.keep(texts.mapInArrow(_sketch(words), _SKETCHES), "sketches")
+    sketches = store.keep(texts.mapInArrow(_sketch(words), _SKETCHES).withColumn("row", F.monotonically_increasing_id()), "sketches")
     known = sketches.where("doc_id is not null and digest is not null")
-    classes = store.keep(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    one = known.join(classes, known["doc_id"] == classes["node"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "mark")
-    nodes = store.keep(one, "nodes")
-    n_parts = min(60_000, max(parts(docs.sparkSession), nodes.count() * BANDS // PART_ENTRIES))
+    # the first row of a set stands for all that have it
+    classes = store.keep(known.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("f")).select("digest", F.col("f.row").alias("node"), F.col("f.doc_id").alias("low")), "classes")
+    nodes = store.keep(known.select(F.col("row").alias("node"), "mark").join(classes.select("node"), "node", "left_semi"), "nodes")
+    slim = store.keep(sketches.select("doc_id", "n_shingles", "digest"), "rows")
+    store.drop(sketches)
+    n_parts = max(parts(docs.sparkSession), nodes.count() * BANDS // PART_ENTRIES)
     buckets = store.keep(dealt(nodes.mapInArrow(_bands(n_parts), KEY_PACKET), n_parts).mapInArrow(shared, "key long, node long"), "buckets")
-    busy = buckets.select("node").distinct()
-    near = texts.where("doc_id is not null").withColumn("tie", F.lit(0)).where(might_hold(filter_of(busy.select(F.col("node").alias("doc_id"), F.lit(0).alias("tie")))))
-    content = store.keep(near.dropDuplicates(["doc_id"]).join(busy, F.col("doc_id") == F.col("node")).select("node", "text").join(nodes, "node").mapInArrow(_content(words), "node long, content binary"), "content")
-
-    def sides(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
-        for side, to in (("a", "x"), ("b", "y")):
-            pairs = pairs.join(of.select(F.col("node").alias(side), F.col(name).alias(to)), side)
-        return pairs
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        likely = sides(pairs, nodes, "mark").mapInArrow(_promising(percent), "a long, b long")
-        return sides(likely, content, "content").mapInArrow(_confirm(percent), "a long, b long")
-
-    found = link(store, buckets, confirm, content, _test(percent))
-    named = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("c"))
-    # a component is named after its smallest representative, which is its smallest doc_id
-    out = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    c = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("c", "doc_id"))
+    busy = store.keep(classes.join(buckets.select("node").distinct(), "node", "left_semi"), "busy")
+    marks = store.keep(nodes.join(busy.select("node"), "node", "left_semi").select("node", F.col("mark").alias("content")), "marks")
+    store.drop(nodes)
+    near = texts.withColumn("tie", F.lit(0)).where(F.col("doc_id").isNotNull() & might_hold(filter_of(busy.select(F.col("low").alias("doc_id"), F.lit(0).alias("tie")))))
+    sets = near.select("text").mapInArrow(_sets(words), "digest binary, content binary").where("digest is not null")
+    content = store.keep(sets.join(busy.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "content"), "content")
+    found = link(store, buckets, content, _test(percent), marks, _likely(percent))
+    store.drop(content, marks, buckets, busy)
+    named = classes.join(found, "node", "left").select("digest", "low", F.coalesce("component", "node").alias("c"))
+    names = named.groupBy("c").agg(F.min("low").alias("component_id"))
+    out = slim.join(named.join(names, "c").select("digest", "component_id"), "digest", "left")
+    c = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", c.alias("component_id"), F.coalesce(F.col("doc_id") == c, F.lit(True)).alias("kept"))

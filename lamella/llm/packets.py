@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,8 @@ from .text import U, mix
 
 #: Bits of the filter that keeps documents without a meeting out of the second shuffle. Its size is fixed; a full one lets all through.
 FILTER_BITS = 1 << 22
+#: Tasks of a shuffle by part. Parts are as many as the entries ask for; a task takes its parts one after the other.
+MOST_TASKS = 20_000
 
 
 def part_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -18,7 +22,31 @@ def part_of(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def dealt(packets: DataFrame, n: int) -> DataFrame:
-    return packets.repartitionById(n, F.col("part")) if hasattr(packets, "repartitionById") else packets.repartition(n, "part")
+    """Packets of n parts, a part's in one task and together; a task has several parts where there are more of them than MOST_TASKS."""
+    tasks = min(n, MOST_TASKS)
+    return packets.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")
+
+
+def runs(batches) -> Iterator[pa.Table]:
+    """The rows of each part, from sorted batches whose first column is the part: a task holds one part at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0].column(0)[0].as_py() != part[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    """The bytes of all values of a column, nulls as none, as one array of numbers."""
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), dtype)
 
 
 def filter_of(keys: DataFrame) -> bytes:
@@ -57,25 +85,21 @@ def key_packets(key: np.ndarray, node: np.ndarray, n_parts: int) -> pa.RecordBat
 
 
 def shared(batches):
-    """Of one part: the distinct (key, node) of keys that two nodes or more have."""
-    cols: tuple[list, list, list, list] = ([], [], [], [])
-    for batch in batches:
-        for c, v in zip(cols, (batch.column(k).to_pylist() for k in range(4)), strict=True):
-            c.extend(v)
-    if not cols[0]:
-        return
-    high = np.frombuffer(b"".join(cols[2]), np.uint8).astype(np.uint64)
-    part = np.repeat(np.array(cols[0], np.uint64), [len(x) for x in cols[2]])
-    key = (part << U(40)) | (np.frombuffer(b"".join(cols[1]), np.uint32).astype(np.uint64) << U(8)) | high
-    node = np.frombuffer(b"".join(cols[3]), np.int64)
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node = key[new], node[new]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    group = np.cumsum(first) - 1
-    many = (np.bincount(group) > 1)[group]
-    for k in range(0, int(many.sum()), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(key[many][k : k + 100_000].view(np.int64)), pa.array(node[many][k : k + 100_000])], ["key", "node"])
+    """Of each part: the distinct (key, node) of keys that two nodes or more have."""
+    for rows in runs(batches):
+        part = U(rows.column(0)[0].as_py())
+        high = joined(rows.column(2), np.uint8).astype(np.uint64)
+        key = (part << U(40)) | (joined(rows.column(1), np.uint32).astype(np.uint64) << U(8)) | high
+        node = joined(rows.column(3), np.int64)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        group = np.cumsum(first) - 1
+        many = (np.bincount(group) > 1)[group]
+        key, node = key[many].view(np.int64), node[many]
+        for k in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000]), pa.array(node[k : k + 100_000])], ["key", "node"])
