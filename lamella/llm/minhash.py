@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .linkage import link
 from .packets import KEY_PACKET, dealt, filter_of, key_packets, might_hold, shared
+from .rows import NEVER, key_of, met
 from .store import Store, parts
 from .text import U, Words, constants, mix, roll, slices
 
@@ -82,7 +83,7 @@ def _band_keys(sketch: np.ndarray, tag: int) -> np.ndarray:
     return key
 
 
-_SKETCHES = "doc_id long, n_shingles long, digest binary, mark binary"
+_SKETCHES = "doc_id long, tie long, n_shingles long, digest binary, mark binary"
 
 
 def _digest(x: np.ndarray) -> bytes | None:
@@ -92,8 +93,7 @@ def _digest(x: np.ndarray) -> bytes | None:
 def _sketch(n: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for i, j, words in slices(batch.column(1), lower=True):
+            for i, j, words in slices(batch.column(2), lower=True):
                 size, digest, mark = [], [], []
                 for x in shingle_sets(words, n):
                     size.append(len(x))
@@ -103,7 +103,8 @@ def _sketch(n: int):
                     for k, c in enumerate(size_classes(len(x))):
                         two[k] = c, sketch(x, c)
                     mark.append(two.tobytes() if len(x) else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(mark, pa.binary())], ["doc_id", "n_shingles", "digest", "mark"])
+                own = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(mark, pa.binary())], ["doc_id", "tie", "n_shingles", "digest", "mark"])
 
     return run
 
@@ -192,8 +193,23 @@ def _test(percent: int):
     return lambda blocks: [one(*block) for block in blocks]
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (doc_id, n_shingles, component_id, kept) for each row of docs.
+def without_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each near-duplicate group: that of its smallest doc_id; columns as they were.
+
+    Equal rows are one document, of which one row stays. Of different texts under one doc_id each stays that is its own
+    group's first. A row without doc_id links with nothing, so it stays, once for each text. Null and empty texts link with nothing.
+    """
+    store = Store(docs.sparkSession, "copies")
+    found = near_duplicates(docs, words, percent, with_tie=True)
+    rows = found.select(F.coalesce("doc_id", F.lit(NEVER)).alias("doc_id"), "tie", "kept").groupBy("doc_id", "tie").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    # rows that go, or of which there are several
+    whole, some, (id_, tie, kept) = met(docs, store.keep(rows.where("not kept or n > 1").select("doc_id", "tie", "kept"), "copies"), "kept")
+    one = some.where(F.coalesce(F.col(kept), F.lit(True))).dropDuplicates([id_, tie])
+    return whole.unionByName(one.select(*(F.col(f"`{c}`") for c in docs.columns)))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_tie: bool = False) -> DataFrame:
+    """One row (doc_id, n_shingles, component_id, kept[, tie, a hash of the text]) for each row of docs.
 
     Documents link if 100 * |A & B| >= percent * |A | B| over their sets of
     ``words``-word shingles (A-Z lower-cased; fewer words: the whole sequence).
@@ -208,20 +224,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     if percent < 80:
         raise ValueError("percent must be 80 or more")
     store = Store(docs.sparkSession, "minhash")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), key_of(id_col, text_col)[1], F.col(text_col).cast("string").alias("text"))
     sketches = store.keep(texts.mapInArrow(_sketch(words), _SKETCHES).withColumn("row", F.monotonically_increasing_id()), "sketches")
     known = sketches.where("doc_id is not null and digest is not null")
     # the first row of a set stands for all that have it
     classes = store.keep(known.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("f")).select("digest", F.col("f.row").alias("node"), F.col("f.doc_id").alias("low")), "classes")
     nodes = store.keep(known.select(F.col("row").alias("node"), "mark").join(classes.select("node"), "node", "left_semi"), "nodes")
-    slim = store.keep(sketches.select("doc_id", "n_shingles", "digest"), "rows")
+    slim = store.keep(sketches.select("doc_id", "n_shingles", "digest", *["tie"] * with_tie), "rows")
     store.drop(sketches)
     n_parts = max(parts(docs.sparkSession), nodes.count() * BANDS // PART_ENTRIES)
     buckets = store.keep(dealt(nodes.mapInArrow(_bands(n_parts), KEY_PACKET), n_parts).mapInArrow(shared, "key long, node long"), "buckets")
     busy = store.keep(classes.join(buckets.select("node").distinct(), "node", "left_semi"), "busy")
     marks = store.keep(nodes.join(busy.select("node"), "node", "left_semi").select("node", F.col("mark").alias("content")), "marks")
     store.drop(nodes)
-    near = texts.withColumn("tie", F.lit(0)).where(F.col("doc_id").isNotNull() & might_hold(filter_of(busy.select(F.col("low").alias("doc_id"), F.lit(0).alias("tie")))))
+    ids = busy.select(F.col("low").alias("doc_id"), F.lit(0).alias("tie"))
+    near = texts.select("doc_id", F.lit(0).alias("tie"), "text").where(F.col("doc_id").isNotNull() & might_hold(filter_of(ids)))
     sets = near.select("text").mapInArrow(_sets(words), "digest binary, content binary").where("digest is not null")
     content = store.keep(sets.join(busy.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "content"), "content")
     found = link(store, buckets, content, _test(percent), marks, _likely(percent))
@@ -230,4 +247,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     names = named.groupBy("c").agg(F.min("low").alias("component_id"))
     out = slim.join(named.join(names, "c").select("digest", "component_id"), "digest", "left")
     c = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", c.alias("component_id"), F.coalesce(F.col("doc_id") == c, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", c.alias("component_id"), F.coalesce(F.col("doc_id") == c, F.lit(True)).alias("kept"), *["tie"] * with_tie)

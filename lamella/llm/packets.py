@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .text import U, mix
 
-#: Bits of the filter that keeps documents without a meeting out of the second shuffle. Its size is fixed; a full one lets all through.
-FILTER_BITS = 1 << 22
+#: Bits of the filter that keeps documents without a meeting out of the second shuffle: 16 a document, between these bounds.
+#: Beyond the upper one (8 MB) it lets more documents through, which costs shuffle and changes no result.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 #: Tasks of a shuffle by part. Parts are as many as the entries ask for; a task takes its parts one after the other.
 MOST_TASKS = 20_000
 
@@ -50,19 +51,19 @@ def joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
 
 
 def filter_of(keys: DataFrame) -> bytes:
-    """FILTER_BITS bits, of which a document's is set if it is among the keys: small and of fixed size whatever the number of keys."""
-    place = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(FILTER_BITS))
-    # 64 bits to a row, so at most FILTER_BITS / 64 rows come back
-    rows = keys.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).collect()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in rows:
-        words[r["word"]] = r["bits"]
+    """Bits of which a document's (doc_id, tie) is set if it is among the keys, a kept table."""
+    n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(n_bits))
+    # 64 bits to a row, so at most MOST_BITS / 64 rows come back, as two columns of numbers
+    rows = keys.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow()
+    words = np.zeros(n_bits // 64, np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return words.tobytes()
 
 
-def might_hold(bits: bytes) -> Column:
+def might_hold(bits: bytes, doc_id: str = "doc_id", tie: str = "tie") -> Column:
     """Whether the filter holds a row's document."""
-    place = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(FILTER_BITS))
+    place = F.pmod(F.xxhash64(doc_id, tie), F.lit(8 * len(bits)))
     byte = F.conv(F.hex(F.substring(F.lit(bits), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0
 

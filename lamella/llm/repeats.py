@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packets import dealt, filter_of, might_hold, part_of
+from .packets import dealt, filter_of, joined, might_hold, part_of, runs
+from .rows import NEVER, key_of, met
 from .store import Store, parts
 from .text import U, buffers, mix, roll, slices
 
@@ -116,33 +117,25 @@ def _probe(block: int, n_parts: int):
     return run
 
 
-def _join(column, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in column if x is not None), dtype)
-
-
 _MET = "chunk long, at binary, doc_ids binary, ties binary, first binary"
 
 
 def _meet(batches):
-    """Of one hash part: the places, by slice, of probes and blocks that meet one another. Rows on slices pass through."""
-    part, chunk, sizes, cols = [], [], [], ([], [], [], [])
-    for batch in batches:
-        rows = batch.to_pydict()
-        for k in range(batch.num_rows):
-            if rows["low"][k] is None:
-                yield pa.RecordBatch.from_arrays([pa.array([rows["chunk"][k]]), *(pa.array([rows[c][k]], pa.binary()) for c in ("at_low", "doc_ids", "ties", "first"))], ["chunk", "at", "doc_ids", "ties", "first"])
-            else:
-                part.append(rows["part"][k])
-                chunk.append(rows["chunk"][k])
-                sizes.append(len(rows["high"][k]))
-                for c, name in zip(cols, ("low", "high", "at_low", "at_high"), strict=True):
-                    c.append(rows[name][k])
-    if not sizes:
-        return
-    low, high, at_low, at_high = (_join(c, t) for c, t in zip(cols, (np.uint32, np.uint8, np.uint16, np.uint16), strict=True))
-    del cols
-    own, owner = np.unique(np.array(part), return_inverse=True)
-    key = (np.repeat(owner, sizes).astype(np.uint64) << U(38)) | (low.astype(np.uint64) << U(6)) | (high >> 2)
+    """Of each hash part: the places, by slice, of probes and blocks that meet one another. Rows on slices pass through."""
+    names = ["chunk", "at", "doc_ids", "ties", "first"]
+    for rows in runs(batches):
+        told = pc.is_null(rows.column("low"))
+        for batch in rows.filter(told).select(["chunk", "at_low", "doc_ids", "ties", "first"]).rename_columns(names).to_batches():
+            yield batch
+        sent = rows.filter(pc.invert(told))
+        if sent.num_rows:
+            yield from _meet_part(sent, names)
+
+
+def _meet_part(rows: pa.Table, names: list[str]):
+    low, high, at_low, at_high = (joined(rows.column(c), kind) for c, kind in (("low", np.uint32), ("high", np.uint8), ("at_low", np.uint16), ("at_high", np.uint16)))
+    sizes, chunk = pc.binary_length(rows.column("high")).to_numpy(), rows.column("chunk").to_numpy()
+    key = (low.astype(np.uint64) << U(6)) | (high >> 2)
     order = np.argsort(key, kind="stable")
     key = key[order]
     new = np.ones(len(key), bool)
@@ -154,21 +147,21 @@ def _meet(batches):
     hit = order[ok[group]]
     source = np.repeat(np.arange(len(sizes)), sizes)[hit]
     at = at_low[hit].astype(np.uint32) | (at_high[hit].astype(np.uint32) << np.uint32(16))
-    chunks = np.array(chunk, np.int64)[source]
+    chunks = chunk[source]
     order = np.lexsort((at, chunks))
     chunks, at = chunks[order], at[order]
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(chunks)) + 1, [len(chunks)])) if len(chunks) else np.zeros(1, int)
     for k in range(0, len(cuts) - 1, 1000):
         some = list(zip(cuts[k : k + 1000], cuts[k + 1 : k + 1001], strict=False))
         none = pa.nulls(len(some), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([int(chunks[a]) for a, _ in some]), pa.array([at[a:b].tobytes() for a, b in some], pa.binary()), none, none, none], ["chunk", "at", "doc_ids", "ties", "first"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(chunks[a]) for a, _ in some]), pa.array([at[a:b].tobytes() for a, b in some], pa.binary()), none, none, none], names)
 
 
 def _to_documents(table: pa.Table) -> pa.Table:
     """One slice's meeting places as places in its documents."""
     rows = table.to_pydict()
     out: tuple[list, list, list] = ([], [], [])
-    at = np.unique(_join(rows["at"], np.uint32))
+    at = np.unique(joined(table.column("at"), np.uint32))
     told = [k for k, x in enumerate(rows["first"]) if x is not None]
     if len(at) and told:
         ids, ties, first = (np.frombuffer(rows[c][told[0]], np.int64) for c in ("doc_ids", "ties", "first"))
@@ -248,18 +241,21 @@ def _later_places(n_parts: int):
         yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), take(rank), take(start)], ["part", "ranks", "starts"])
 
     def run(batches):
+        for rows in runs(batches):
+            yield from of_part(rows)
+
+    def of_part(rows: pa.Table):
         cols: tuple[list, list, list, list] = ([], [], [], [])
         settled: tuple[list, list] = ([], [])
-        for batch in batches:
-            for _, ranks, counts, starts, h, check in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                rank = np.repeat(np.frombuffer(ranks, np.int64), np.frombuffer(counts, np.uint32))
-                start = np.frombuffer(starts, np.uint32)
-                if h is None:
-                    settled[0].append(rank)
-                    settled[1].append(start)
-                else:
-                    for c, v in zip(cols, (rank, start, np.frombuffer(h, np.uint64), np.frombuffer(check, np.uint16)), strict=True):
-                        c.append(v)
+        for ranks, counts, starts, h, check in zip(*(rows.column(k).to_pylist() for k in range(1, 6)), strict=True):
+            rank = np.repeat(np.frombuffer(ranks, np.int64), np.frombuffer(counts, np.uint32))
+            start = np.frombuffer(starts, np.uint32)
+            if h is None:
+                settled[0].append(rank)
+                settled[1].append(start)
+            else:
+                for c, v in zip(cols, (rank, start, np.frombuffer(h, np.uint64), np.frombuffer(check, np.uint16)), strict=True):
+                    c.append(v)
         if settled[0]:
             yield from told(np.concatenate(settled[0]), np.concatenate(settled[1]))
         if cols[0]:
@@ -274,18 +270,15 @@ def _later_places(n_parts: int):
 
 
 def _gather(batches):
-    """Of one part of the documents: (rank, starts) of each document."""
-    ranks, starts = [], []
-    for batch in batches:
-        ranks.extend(batch.column(1).to_pylist())
-        starts.extend(batch.column(2).to_pylist())
-    rank, start = _join(ranks, np.int64), _join(starts, np.uint32)
-    order = np.lexsort((start, rank))
-    rank, start = rank[order], start[order]
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(rank)) + 1, [len(rank)])) if len(rank) else np.zeros(1, int)
-    for k in range(0, len(cuts) - 1, 1000):
-        some = list(zip(cuts[k : k + 1000], cuts[k + 1 : k + 1001], strict=False))
-        yield pa.RecordBatch.from_arrays([pa.array([int(rank[a]) for a, _ in some], pa.int64()), pa.array([start[a:b].tobytes() for a, b in some], pa.binary())], ["rank", "starts"])
+    """Of each part of the documents: (rank, starts) of each document."""
+    for rows in runs(batches):
+        rank, start = joined(rows.column(1), np.int64), joined(rows.column(2), np.uint32)
+        order = np.lexsort((start, rank))
+        rank, start = rank[order], start[order]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(rank)) + 1, [len(rank)])) if len(rank) else np.zeros(1, int)
+        for k in range(0, len(cuts) - 1, 1000):
+            some = list(zip(cuts[k : k + 1000], cuts[k + 1 : k + 1001], strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array([int(rank[a]) for a, _ in some], pa.int64()), pa.array([start[a:b].tobytes() for a, b in some], pa.binary())], ["rank", "starts"])
 
 
 _CUT = "rank long, n_removed long, kept_sha256 string, kept string"
@@ -325,8 +318,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
         raise ValueError("window must be 2 or more")
     spark = docs.sparkSession
     store, block = Store(spark, "repeats"), max(1, window // 2)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    own = docs.select(*key_of(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     measured = store.keep(own.mapInArrow(_measure(window), "doc_id long, tie long, n_words long, digest binary, all_sha256 string"), "measured")
     total = measured.agg(F.sum("n_words")).first()[0] or 0
     if not total:
@@ -334,7 +326,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
     firsts = measured.groupBy("digest").agg(F.min(F.struct("doc_id", "tie")).alias("f")).select("f.doc_id", "f.tie").withColumn("is_first", F.lit(True))
     ordered = measured.select("doc_id", "tie", "n_words", "all_sha256").distinct().join(firsts, ["doc_id", "tie"], "left")
     ranked = store.keep(ordered.orderBy("doc_id", "tie").withColumn("rank", F.monotonically_increasing_id()), "ranked")  # ids rise with the sort
-    n_parts = min(60_000, max(parts(spark), total // PART_ENTRIES))
+    n_parts = max(parts(spark), total // PART_ENTRIES)
     packets = own.mapInArrow(_probe(block, n_parts), _PACKET)
     met = dealt(packets, n_parts).mapInArrow(_meet, _MET)
     anchors = met.groupBy("chunk").applyInArrow(_to_documents, "doc_id long, tie long, anchors binary")
@@ -343,7 +335,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
     near = own.where(might_hold(filter_of(wanted)))
     touched = store.keep(near.dropDuplicates(["doc_id", "tie"]).join(wanted, ["doc_id", "tie"]).select("rank", "text", "anchors"), "touched")
     entries = touched.agg(F.sum(F.length("anchors") / 4)).first()[0] or 0
-    w_parts = min(60_000, max(parts(spark), int(entries * block) // PART_ENTRIES))
+    w_parts = max(parts(spark), int(entries * block) // PART_ENTRIES)
     windows = touched.select("rank", "text", "anchors").mapInArrow(_windows(window, block, w_parts), _WINDOWS)
     gathered = dealt(dealt(windows, w_parts).mapInArrow(_later_places(w_parts), _REPLY), w_parts).mapInArrow(_gather, "rank long, starts binary")
     cut = touched.select("rank", "text").join(gathered, "rank").mapInArrow(_cut(window, with_text), _CUT)
@@ -361,5 +353,19 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
 
 
 def _results(docs: DataFrame, rows: DataFrame, with_text: bool) -> DataFrame:
-    doc_id = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id"))
+    doc_id = F.when(F.col("doc_id") != NEVER, F.col("doc_id"))
     return rows.select(doc_id.alias("doc_id"), "n_words", "n_removed", "kept_sha256", *(["kept", "tie"] if with_text else []))
+
+
+def without_passages(docs: DataFrame, window: int = 20) -> DataFrame:
+    """docs without repeated windows, columns as they were (n_chars, if there, made anew).
+
+    A changed text is its kept words, joined by one space; a document of which nothing is left goes. Others stay as they
+    are, null and empty texts among them; equal rows are cut alike and all stay.
+    """
+    store = Store(docs.sparkSession, "passages")
+    cut = remove_repeats(docs, window, with_text=True).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(NEVER)).alias("doc_id"), "tie", "kept").dropDuplicates(["doc_id", "tie"])
+    whole, touched, (_, _, kept) = met(docs, store.keep(cut, "cut"), "kept")
+    columns = [F.coalesce(F.col(kept), F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    out = whole.unionByName(touched.where(F.coalesce(F.col(kept) != "", F.lit(True))).select(*columns))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

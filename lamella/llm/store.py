@@ -75,3 +75,14 @@ class Store:
 
 def parts(spark: SparkSession, floor: int = 1) -> int:
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh(table: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores in front that the table has no such column, whatever the case of its letters."""
+    taken, out = {c.lower() for c in table.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

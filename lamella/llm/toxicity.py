@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .store import Store
+from .rows import NEVER, key_of, met
+from .store import Store, bounded
 from .text import U, slices
 
 PREFIXES = (4, 5, 6)
@@ -200,21 +200,27 @@ def train(docs: DataFrame, labels: DataFrame, usable_rows, terms=IDENTITY_TERMS,
     return fit([(np.frombuffer(r["places"], "<i4").astype(np.int64), r["y"]) for r in rows], features, swaps, fairness=fairness)
 
 
-def score(docs: DataFrame, model: Model, flag_only: bool = False) -> DataFrame:
-    """(doc_id, score, predicted) of each row of docs, in its whole text; with flag_only all columns of docs and `_toxic`. A null or empty text has the model's bias alone."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, tie, score, predicted) of each row of docs, in its whole text; tie is a hash of the text. A null or empty text has the model's bias alone."""
+    bounded(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text")).cast(pa.string())
-            for i, j, words in slices(column, lower=True):
+            for i, j, words in slices(batch.column(2), lower=True):
                 s = model.scores(words)
-                p = pa.array((s >= 0.5).astype(np.int32))
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*own.columns, p], [*own.schema.names, "_toxic"]) if flag_only else pa.RecordBatch.from_arrays([own.column(0), pa.array(s), p], ["doc_id", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "tie", "score", "predicted"])
 
-    if flag_only:
-        return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_toxic", T.IntegerType())]))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of()[1], F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, tie long, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows that the model predicts to be toxic. Equal rows stay or go together; columns and their names are as they were."""
+    store = Store(docs.sparkSession, "toxicity")
+    bad = score(docs, model).where("predicted = 1").select(F.coalesce("doc_id", F.lit(NEVER)).alias("doc_id"), "tie", "predicted").distinct()
+    whole, suspect, (_, _, flag) = met(docs, store.keep(bad, "toxic"), "predicted")
+    return whole.unionByName(suspect.where(F.col(flag).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def held_out(doc_id) -> Column:

@@ -95,7 +95,7 @@ def test_sketch_estimates_and_registers():
         assert set(m.size_classes(n)) & set(m.size_classes(low))
 
 
-def test_hub_rounds_find_components_without_star(spark):
+def test_hub_rounds_find_components_without_star(spark, monkeypatch):
     """A bucket whose smallest node links with none: later hubs must find the links of the others."""
     from lamella.llm import linkage
     from lamella.llm.store import Store
@@ -106,20 +106,26 @@ def test_hub_rounds_find_components_without_star(spark):
     content = store.keep(spark.range(n).select(F.col("id").alias("node"), F.col("id").cast("string").cast("binary").alias("content")))
     same = lambda a, b: 0 < a and 0 < b and a // 50 == b // 50 and abs(a - b) <= 3
 
-    def test(hubs, members, ask):
-        return ask & np.array([[same(int(h), int(m)) for m in members] for h in hubs])
+    def test(blocks):
+        return [ask & np.array([[same(int(h), int(m)) for m in members] for h in hubs]) for hubs, members, ask in blocks]
+
+    def likely(blocks):
+        return [ask & np.array([[abs(int(h) - int(m)) <= 5 for m in members] for h in hubs]) for hubs, members, ask in blocks]
 
-    confirm = lambda pairs: pairs.where("a > 0 and a div 50 = b div 50 and b - a <= 3")
-    got = {r.node: r.component for r in linkage.link(store, buckets, confirm, content, test).collect()}
     want = components(range(n), same)
-    assert {i: got.get(i, i) for i in range(n)} == want
+    for size in (linkage.BLOCK_ROWS, 40):  # in one block, and in several of members and of hubs
+        monkeypatch.setattr(linkage, "BLOCK_ROWS", size)
+        monkeypatch.setattr(linkage, "HUB_BLOCK", min(linkage.HUB_BLOCK, size))
+        for extra in ((), (content, likely)):
+            got = {r.node: r.component for r in linkage.link(store, buckets, content, test, *extra).collect()}
+            assert {i: got.get(i, i) for i in range(n)} == want
 
 
 def test_components_by_rounds(spark, monkeypatch):
     from lamella.llm import components as c
     from lamella.llm.store import Store
 
-    monkeypatch.setattr(c, "ONE_TASK", 0)
+    monkeypatch.setattr(c, "RUN_NODES", 4)  # runs are small, so that rounds do the work
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in c.components(Store(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
@@ -231,7 +237,7 @@ def distance(a, b):
 
 
 def test_banded_distance():
-    from lamella.llm.lines import within
+    from lamella.llm.lines import allowed, within
 
     rng = random.Random(4)
     pairs = []
@@ -243,7 +249,57 @@ def test_banded_distance():
             b[k : k + rng.randint(0, 1)] = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 1)))
         pairs.append((a, bytes(b)))
     for edits in (1, 2, 3):
-        assert within(pairs, edits).tolist() == [distance(a, b) <= edits for a, b in pairs]
+        most = [allowed(max(len(a), len(b)), edits, 0) for a, b in pairs]
+        assert within(pairs, edits, 0).tolist() == [0 < n >= distance(a, b) for n, (a, b) in zip(most, pairs, strict=True)]
+
+
+def near_lines(a, b):
+    n = max(len(a), len(b))
+    edits = max(min(2, n // 10), n // 32)
+    return edits > 0 and abs(len(a) - len(b)) <= edits and n < 1000 and distance(a, b) <= edits
+
+
+def test_short_lines(spark):
+    """Lines of all lengths about the bounds, cut, grown and changed at every place."""
+    from lamella.llm.lines import line_repeats
+
+    rng = random.Random(8)
+    lines = []
+    for size in (1, 5, 8, 9, 10, 11, 17, 18, 19, 20, 21, 22):
+        for _ in range(4):
+            a = "".join(rng.choice("abcdefghijkl") for _ in range(size))
+            lines.append(a)
+            for edits in (1, 2, 3):
+                b = list(a)
+                for _ in range(edits):
+                    k = rng.randrange(len(b) + 1)
+                    b[k : k + rng.randint(0, 1)] = rng.choice(["", "Z", "Y"])
+                lines.append("".join(b) or "q")
+    rows = line_repeats(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)).collect()
+    own = sorted(set(lines), key=lines.index)
+    comp = components(range(len(own)), lambda a, b: near_lines(own[a].encode(), own[b].encode()))
+    want = {i for i, x in enumerate(lines) if lines.index(own[comp[own.index(x)]]) != i}
+    assert {r.doc_id for r in rows if r.n_removed} == want and any(r.n_near for r in rows)
+
+
+def test_columns_of_the_same_names(spark):
+    """Internal columns give way to those of the table."""
+    from lamella.llm.lines import without_repeats
+
+    rows = [(1, "a line of some length\nanother one", "x", 5, "y"), (2, "a line of some length", "z", 6, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _tie int, _removed string")
+    assert [tuple(r) for r in without_repeats(docs).collect()] == rows[:1]
+
+
+def test_two_texts_under_one_id(spark):
+    from lamella.llm.minhash import near_duplicates
+
+    rng = random.Random(2)
+    a, b = words(rng, 60, 400), words(rng, 60, 400)
+    near = [*b[:30], "changed", *b[31:]]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, " ".join(near)), (6, " ".join(a))]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).select("doc_id", "component_id", "kept").collect())
+    assert got == [(1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False)]
 
 
 def test_lines(docs, empty, texts):
@@ -256,7 +312,7 @@ def test_lines(docs, empty, texts):
             if line.strip():
                 seen.setdefault(line, (i, n))
     lines = sorted(seen)
-    comp = components(range(len(lines)), lambda a, b: min(len(lines[a]), len(lines[b])) >= 20 and abs(len(lines[a]) - len(lines[b])) <= 2 and len(lines[a]) < 1000 and distance(lines[a], lines[b]) <= 2)
+    comp = components(range(len(lines)), lambda a, b: near_lines(lines[a], lines[b]))
     first = {}
     for a, c in comp.items():
         first[c] = min(first.get(c, (1 << 60, 0)), seen[lines[a]])
@@ -298,7 +354,7 @@ def test_edits_grow_with_the_line(spark):
             a, b = "".join(a), "".join(b)
             lines += [a, b]
             pairs.append((a.encode(), b.encode()))
-    want = [distance(a, b) <= max(2, len(a) // 32) if len(a) < 1000 else None for a, b in pairs]
+    want = [distance(a, b) <= max(2, max(len(a), len(b)) // 32) if len(a) < 1000 else None for a, b in pairs]
     got = within(pairs, 2, 32)
     assert [w if w is None else bool(g) for w, g in zip(want, got, strict=True)] == want and sum(map(bool, want)) > 60 and False in want
     rows = line_repeats(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)).collect()
