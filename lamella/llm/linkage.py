@@ -12,6 +12,8 @@ link that could join two components is lost, and no bucket is ever gathered.
 Members of large buckets are dealt in blocks, hubs likewise; a task holds one
 block's hubs and streams the members past them. Where nodes have sketches, these
 are compared first, and contents go only to the blocks where a sketch says that a pair is likely.
+Where tests are dear, a pair that shares several buckets is tested in one of them: rows
+carry the smallest keys of their node, and a pair with a common key below the bucket's own is left to that one.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,21 +30,40 @@ from .components import components
 from .store import Store
 
 FIRST_HUBS, MORE_HUBS, HUB_BLOCK, BLOCK_ROWS = 64, 16, 256, 4096
-#: So many asked pairs are tested together.
-TOGETHER = 20_000
+#: So many asked pairs are tested together. Rows carry so many of their node's keys; a pair without a common one among them is tested in each bucket.
+TOGETHER, OWN_KEYS, KEYS_AT_ONCE = 20_000, 64, 512
 #: Takes (contents of hubs, contents of members, which pairs (hub, member) to test) of some blocks; tells which of these pass.
 Block = tuple[list, list, np.ndarray]
 Test = Callable[[list[Block]], list[np.ndarray]]
 
 
 class _Rows:
-    """Some rows (key, hubs' block, members' block, node, component, hub, content) of one block."""
+    """Some rows (key, hubs' block, members' block, node, component, hub, content, own keys) of one block."""
 
     def __init__(self, batches: list[pa.RecordBatch]):
         table = pa.Table.from_batches(batches)
         self.place = tuple(table.column(k)[0].as_py() for k in range(3))
         self.node, self.c = (table.column(k).to_numpy() for k in (3, 4))
         self.content = table.column(6).to_pylist()
+        keys = table.column(7).combine_chunks() if table.num_columns > 7 else None
+        self.keys = (keys.flatten().to_numpy(), np.repeat(np.arange(len(keys)), pc.list_value_length(keys).fill_null(0).to_numpy(zero_copy_only=False))) if keys is not None else None
+
+
+def _elsewhere(hubs: _Rows, members: _Rows) -> np.ndarray:
+    """Which pairs (hub, member) have a common key below that of their bucket."""
+    out = np.zeros((len(hubs.node), len(members.node)), bool)
+    (h, of_h), (m, of_m) = hubs.keys, members.keys
+    common = np.intersect1d(h[h < hubs.place[0]], m)
+    for k in range(0, len(common), KEYS_AT_ONCE):
+        some, has = common[k : k + KEYS_AT_ONCE], []
+        for keys, of, n in ((h, of_h, out.shape[0]), (m, of_m, out.shape[1])):
+            at = np.minimum(np.searchsorted(some, keys), len(some) - 1)
+            ok = some[at] == keys
+            x = np.zeros((n, len(some)), np.float32)
+            x[of[ok], at[ok]] = 1
+            has.append(x)
+        out |= has[0] @ has[1].T > 0
+    return out
 
 
 def _met(batches) -> Iterator[tuple[_Rows, _Rows]]:
@@ -77,6 +99,8 @@ def _tested(batches, test: Test) -> Iterator[tuple[_Rows, _Rows, np.ndarray]]:
 
     for hubs, members in _met(batches):
         ok = hubs.c[:, None] != members.c
+        if hubs.keys is not None and ok.any():
+            ok &= ~_elsewhere(hubs, members)
         if ok.any():
             waiting.append((hubs, members, ok))
             asked += int(ok.sum())
@@ -126,17 +150,19 @@ def _blocks(n: Column, rows: int) -> Column:
     return F.ceil(n / rows).cast("int")
 
 
-def link(store: Store, buckets: DataFrame, content: DataFrame, test: Test, sketch: DataFrame | None = None, likely: Test | None = None) -> DataFrame:
+def link(store: Store, buckets: DataFrame, content: DataFrame, test: Test, sketch: DataFrame | None = None, likely: Test | None = None, once: bool = False) -> DataFrame:
     """(node, component) of the nodes that links join.
 
     buckets: kept table (key, node), rows distinct, each key with two nodes or more.
     content: kept table (node, content) for test, which decides pairs.
     sketch: kept table (node, content) for likely, which must pass every pair that test passes.
+    once: whether pairs that share several buckets are kept from being tested in each.
     """
+    own_keys: DataFrame | None = None
 
     def decided(rows: DataFrame) -> DataFrame:
         def meet(rows: DataFrame, of: DataFrame, run, schema: str) -> DataFrame:
-            full = rows.join(of, "node").select("key", "i", "j", "node", "c", "hub", "content")
+            full = rows.join(of, "node").select("key", "i", "j", "node", "c", "hub", "content", *["keys"] * ("keys" in rows.columns))
             return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("hub")).mapInArrow(run, schema).distinct()
 
         some = None
@@ -164,6 +190,10 @@ def link(store: Store, buckets: DataFrame, content: DataFrame, test: Test, sketc
             return found
         is_hub = F.expr(f"c <> top and pmod(xxhash64(node, {round_no}), greatest(1, others div {hubs})) = 0")
         rows = _dealt(active, is_hub, _blocks(F.least(F.col("others"), F.lit(2 * hubs)), HUB_BLOCK), _blocks(F.col("n"), BLOCK_ROWS))
+        if once:
+            if own_keys is None:
+                own_keys = store.keep(starred.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, OWN_KEYS).alias("keys")), "keys")
+            rows = rows.join(own_keys, "node")
         good = decided(rows)
         if not good.isEmpty():
             stars = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))

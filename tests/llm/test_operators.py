@@ -102,7 +102,8 @@ def test_hub_rounds_find_components_without_star(spark, monkeypatch):
 
     store = Store(spark, "test")
     n = 300
-    buckets = store.keep(spark.range(n).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node")))
+    # one bucket of all, and smaller ones that share pairs with it
+    buckets = store.keep(spark.range(n).select(F.explode(F.array(F.lit(7).cast("long"), F.col("id") % 5, -(F.col("id") % 3) - 1)).alias("key"), F.col("id").alias("node")).distinct())
     content = store.keep(spark.range(n).select(F.col("id").alias("node"), F.col("id").cast("string").cast("binary").alias("content")))
     same = lambda a, b: 0 < a and 0 < b and a // 50 == b // 50 and abs(a - b) <= 3
 
@@ -117,8 +118,9 @@ def test_hub_rounds_find_components_without_star(spark, monkeypatch):
         monkeypatch.setattr(linkage, "BLOCK_ROWS", size)
         monkeypatch.setattr(linkage, "HUB_BLOCK", min(linkage.HUB_BLOCK, size))
         for extra in ((), (content, likely)):
-            got = {r.node: r.component for r in linkage.link(store, buckets, content, test, *extra).collect()}
-            assert {i: got.get(i, i) for i in range(n)} == want
+            for once in (False, True):
+                got = {r.node: r.component for r in linkage.link(store, buckets, content, test, *extra, once=once).collect()}
+                assert {i: got.get(i, i) for i in range(n)} == want
 
 
 def test_components_by_rounds(spark, monkeypatch):
