@@ -1,20 +1,24 @@
 """Ids of a public BPE tokenizer by way of a cache of white-space chunks.
 
 The tokenizer drops white space and never merges over it, so a text's ids are
-those of its chunks in turn. Most chunks of a corpus repeat; each is encoded once
+those of its chunks in turn. It lower-cases, and a mark after a letter is a token of its own, so texts are
+lower-cased in ASCII and such marks parted from their words as a whole: fewer chunks differ.
+Most chunks of a corpus repeat; each is encoded once
 while it stays in a two-generation cache of bounded size.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from unicodedata import normalize
 
 import numpy as np
 
-GENERATION = 150_000
-_PUNCTUATION = frozenset(b".,;:!?")
+GENERATION = 200_000
+#: A mark between an ASCII or Latin-1 letter (which no case of it changes) and white space or the end.
+_MARK = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[.,;:!?](?=[ \t\n\r\x0b\x0c]|\Z)")
 
 
 def _letters(chunk: bytes) -> bool:
@@ -22,6 +26,12 @@ def _letters(chunk: bytes) -> bool:
     return chunk.isalpha() or not chunk.isascii() and normalize("NFC", chunk.decode("utf-8", "replace")).lower().isalpha()
 
 
+def _chunks(text: bytes) -> list[bytes]:
+    if b"<|" not in text:  # special tokens are told by their own case
+        text = _MARK.sub(rb" \g<0>", text.lower())
+    return text.split()
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -35,16 +45,6 @@ class ChunkEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    @staticmethod
-    def _core(chunk: bytes) -> tuple[bytes, bytes]:
-        """The chunk without a final mark, if the rest is letters; ASCII letters in lower case. Its ids are those of the parts in turn."""
-        mark = b""
-        if chunk[-1] in _PUNCTUATION and len(chunk) > 1:
-            chunk, mark = chunk[:-1], chunk[-1:]
-            if not _letters(chunk):
-                return chunk + mark, b""
-        return (chunk.lower() if chunk.isascii() and chunk.isalpha() else chunk), mark
-
     def _encode_words(self, words: list[bytes]) -> None:
         """Many words of letters in one text: each ends with the one token of its own that has the vocabulary's end mark."""
         for k in range(0, len(words), 4_000):
@@ -56,27 +56,20 @@ class ChunkEncoder:
                 self.young.update(zip(some, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
 
     def _learn(self, chunks: set[bytes]) -> None:
-        young, old, cores, new = self.young, self.old, {}, set()
-        for c in chunks:
-            if c in old:
-                young[c] = old[c]
-                continue
-            cores[c] = self._core(c)
-            new.update(x for x in cores[c] if x and x not in young and x not in old)
-        words = [x for x in new if _letters(x)]
-        self._encode_words(words)
+        young, old = self.young, self.old
+        kept = chunks & old.keys()
+        young.update(zip(kept, map(old.__getitem__, kept), strict=True))
+        new = chunks - kept
+        self._encode_words([x for x in new if _letters(x)])
         rest = [x for x in new if x not in young]
         for k in range(0, len(rest), 20_000):
             some = rest[k : k + 20_000]
             for c, e in zip(some, self._encode([x.decode() for x in some], add_special_tokens=False), strict=True):
                 young[c] = array("I", e.ids).tobytes()
-        get = lambda x: young.get(x) or old.get(x, b"") if x else b""
-        for c, (core, mark) in cores.items():
-            young[c] = get(core) + get(mark)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [t.split() for t in texts]
+        split = [_chunks(t) for t in texts]
         if len(self.young) > GENERATION:
             self.old, self.young = self.young, {}
         missing = set().union(*split) - self.young.keys() if split else set()
