@@ -10,15 +10,16 @@ while it stays in a two-generation cache of bounded size.
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from unicodedata import normalize
 
 import numpy as np
 
 GENERATION = 200_000
-#: A mark between an ASCII or Latin-1 letter (which no case of it changes) and white space or the end.
-_MARK = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[.,;:!?](?=[ \t\n\r\x0b\x0c]|\Z)")
+_MARKS, _SPACES = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", b" \t\n\r\x0b\x0c"))
+_ASCII_LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz"))
+#: Second bytes of the Latin-1 letters, which all begin with 0xC3.
+_LATIN_LETTER = np.isin(np.arange(256), [*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)])
 
 
 def _letters(chunk: bytes) -> bool:
@@ -26,10 +27,19 @@ def _letters(chunk: bytes) -> bool:
     return chunk.isalpha() or not chunk.isascii() and normalize("NFC", chunk.decode("utf-8", "replace")).lower().isalpha()
 
 
-def _chunks(text: bytes) -> list[bytes]:
-    if b"<|" not in text:  # special tokens are told by their own case
-        text = _MARK.sub(rb" \g<0>", text.lower())
-    return text.split()
+def _chunks(texts: list[bytes]) -> list[list[bytes]]:
+    """Each text's chunks, in lower case (ASCII) and without a mark between a letter and white space, which is a chunk of its own."""
+    whole = b"\n".join(texts)
+    if b"<|" in whole:  # special tokens are told by their own case
+        return [t.split() if b"<|" in t else _chunks([t])[0] for t in texts]
+    data = np.frombuffer(b"  " + whole.lower() + b"\n", np.uint8)
+    at = np.flatnonzero(_MARKS[data])
+    letter = _ASCII_LETTER[data[at - 1]] | (_LATIN_LETTER[data[at - 1]] & (data[at - 2] == 0xC3))
+    at = at[letter & _SPACES[data[at + 1]]]
+    first = 2 + np.cumsum([0, *(len(t) + 1 for t in texts)])
+    first = (first + np.searchsorted(at, first)).tolist()
+    parted = np.insert(data, at, 32).tobytes()
+    return [parted[a:b].split() for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
 class ChunkEncoder:
@@ -69,7 +79,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [_chunks(t) for t in texts]
+        split = _chunks(texts)
         if len(self.young) > GENERATION:
             self.old, self.young = self.young, {}
         missing = set().union(*split) - self.young.keys() if split else set()
