@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Store
+from .text import released
 
 #: Nodes that a task's contraction holds at once, at about 200 bytes each.
 RUN_NODES = 400_000
@@ -24,6 +25,7 @@ def _stars(up: dict[int, int], root) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
 
 
+@released
 def _contract(batches):
     """Edges (u, v), v smaller, with the same components: each run's nodes beside the smallest of theirs."""
     up: dict[int, int] = {}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import Store
+from .text import released
 from .vectors import matrix, sample_of, usable
 
 BLOCK_ROWS, TILE, SAMPLE_ROWS, SLACK = 4096, 512, 8192, 1e-7
@@ -114,6 +115,7 @@ def _blocks(basis: np.ndarray, splits: np.ndarray, reach: float, per_bin: np.nda
     first = np.concatenate(([0], np.cumsum(per_bin)))
     edges = np.concatenate(([-np.inf], splits, [np.inf]))
 
+    @released
     def run(batches):
         for batch in batches:
             x = _unit(matrix(batch.column("v"))) @ basis[:, :1] if batch.num_rows else np.zeros((0, 1))
@@ -164,6 +166,7 @@ def near_vectors(table: DataFrame, at_least: float = 0.9) -> DataFrame:
         bins = max(1, n // BLOCK_ROWS)
         splits = np.unique(np.quantile(x @ basis[:, 0], np.arange(1, bins) / bins)) if bins > 1 else np.zeros(0)
 
+        @released
         def bin_of(batches, basis=basis, splits=splits):
             for batch in batches:
                 x = _unit(matrix(batch.column("v"))) @ basis[:, :1] if batch.num_rows else np.zeros((0, 1))

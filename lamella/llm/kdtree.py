@@ -15,6 +15,7 @@ from .vectors import matrix, sample_of, usable
 LEAF, SHARD_ROWS, QUERY_ROWS, FIRST_ROWS = 64, 8192, 2048, 2048
 #: Integers up to this size have products whose sums are exact in a double, for up to 2^12 dimensions.
 EXACT = float(1 << 20)
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
 _HITS = "query_id long, vec_id long, score long"
 
 
@@ -60,7 +61,7 @@ class Tree:
                     heapq.heappush(queue, (-bound[kid], kid))
                 continue
             x, ids = self.part[node]
-            scores = x @ q
+            scores = _held(x @ q)
             for i in np.flatnonzero(scores >= worst[0]):
                 if ids[i] != own:
                     entry = (scores[i], -int(ids[i]))
@@ -76,6 +77,11 @@ def _levels(v: np.ndarray, scale: float) -> np.ndarray:
     return x if not x.size or np.abs(x).max() <= EXACT else np.array([[int(c) for c in r] for r in x], object)
 
 
+def _held(scores: np.ndarray) -> np.ndarray:
+    """Scores beyond a long as the nearest one; those of doubles are exact and far below."""
+    return np.minimum(np.maximum(scores, LOW), HIGH) if scores.dtype == object else scores
+
+
 def _search(k: int, scale: float):
     def run(table: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
@@ -85,7 +91,7 @@ def _search(k: int, scale: float):
             x, y = _levels(matrix(c.column("v")), scale), _levels(matrix(q.column("v")), scale)
             tree = Tree(x, c.column("vec_id").to_numpy())
             lo, hi = tree.lo, tree.hi
-            bounds = np.maximum(y, 0) @ hi.T + np.minimum(y, 0) @ lo.T
+            bounds = _held(np.maximum(y, 0) @ hi.T + np.minimum(y, 0) @ lo.T)
             for row, bound, own, kth in zip(y, bounds, q.column("vec_id").to_pylist(), q.column("kth").to_pylist(), strict=True):
                 for score, i in tree.search(row, bound, own, k, -float("inf") if kth is None else kth):
                     for col, value in zip(out, (own, i, score), strict=True):
@@ -101,7 +107,7 @@ def top_k(table: DataFrame, queries, k: int = 5, scale: float = 256.0) -> DataFr
     queries: a condition on vec_id. Every other row is a candidate; a row with
     the query's own vec_id is not. A repeated query row is asked once. Vectors that are null, empty or hold null or
     non-finite components take no part, nor do rows without vec_id; vectors of unlike length
-    do not meet. Repeated (vec_id, vector) rows are each a candidate of their own.
+    do not meet. A score that a long cannot hold is the nearest long, for ranks, too. Repeated (vec_id, vector) rows are each a candidate of their own.
 
     A first search over FIRST_ROWS candidates gives each query a kth score, which goes with
     it to all shards, as a bound that only better boxes pass.

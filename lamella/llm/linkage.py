@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import Store
+from .text import released
 
 FIRST_HUBS, MORE_HUBS, HUB_BLOCK, BLOCK_ROWS = 64, 16, 256, 4096
 #: So many asked pairs are tested together. Rows carry so many of their node's keys; a pair without a common one among them is tested in each bucket.
@@ -114,6 +115,7 @@ def _tested(batches, test: Test) -> Iterator[tuple[_Rows, _Rows, np.ndarray]]:
 def _likely(test: Test):
     """Rows (key, hubs' block, members' block, node, c, hub) of hubs and members in pairs that pass; a hub once for each run of members."""
 
+    @released
     def run(batches):
         for hubs, members, ok in _tested(batches, test):
             h, m = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
@@ -127,6 +129,7 @@ def _likely(test: Test):
 
 
 def _links(test: Test):
+    @released
     def run(batches):
         for hubs, members, ok in _tested(batches, test):
             h, m = np.nonzero(ok)

@@ -14,7 +14,7 @@ from .linkage import link
 from .packets import KEY_PACKET, dealt, filter_of, key_packets, might_hold, shared
 from .rows import NEVER, key_of, met
 from .store import Store, parts
-from .text import U, Words, constants, mix, roll, slices
+from .text import U, Words, constants, mix, released, roll, slices
 
 BANDS, ROWS = 42, 6
 K = BANDS * ROWS
@@ -91,6 +91,7 @@ def _digest(x: np.ndarray) -> bytes | None:
 
 
 def _sketch(n: int):
+    @released
     def run(batches):
         for batch in batches:
             for i, j, words in slices(batch.column(2), lower=True):
@@ -110,6 +111,7 @@ def _sketch(n: int):
 
 
 def _bands(n_parts: int):
+    @released
     def run(batches):
         for batch in batches:
             node, keys = [], []
@@ -145,6 +147,7 @@ _MARK = np.dtype([("c", np.int32), ("s", np.uint16, K)])
 def _sets(n: int):
     """(digest, sorted shingle hashes) of each text."""
 
+    @released
     def run(batches):
         for batch in batches:
             for _, _, words in slices(batch.column(0), lower=True):

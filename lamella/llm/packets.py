@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import U, mix
+from .text import U, mix, released
 
 #: Bits of the filter that keeps documents without a meeting out of the second shuffle: 16 a document, between these bounds.
 #: Beyond the upper one (8 MB) it lets more documents through, which costs shuffle and changes no result.
@@ -85,6 +85,7 @@ def key_packets(key: np.ndarray, node: np.ndarray, n_parts: int) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), take(low), take(high), take(node)], ["part", "low", "high", "node"])
 
 
+@released
 def shared(batches):
     """Of each part: the distinct (key, node) of keys that two nodes or more have."""
     for rows in runs(batches):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Store
-from .text import SLICE_BYTES, buffers
+from .text import SLICE_BYTES, buffers, released
 from .tokens import encoder
 
 SALTS, ROWS_A_SALT = 64, 100_000
@@ -71,6 +71,7 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     tail = np.array([end_id], "<u4").tobytes()
 
+    @released
     def run(batches):
         coder = encoder(path)
         for batch in batches:
@@ -94,6 +95,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
 
 
 def _place(runs: np.ndarray):
+    @released
     def run(batches):
         # keys of runs: length in the high bits, rank in the low ones
         key = (runs[:, 0] << 48) | runs[:, 1]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLES  # noqa: F401
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,4 +77,3 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_token_counts, op4_line_dedup, op5_exact_top_k, op6_best_fit_packing, op7_substring_dedup, op8_segmentation_sampling, op9_toxicity, op10_sharding)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}

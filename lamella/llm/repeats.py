@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .packets import dealt, filter_of, joined, might_hold, part_of, runs
 from .rows import NEVER, key_of, met
 from .store import Store, parts
-from .text import U, buffers, mix, roll, slices
+from .text import U, buffers, mix, released, roll, slices
 
 PART_ENTRIES = 500_000
 _INDEX, _MANY = U(1), U(2)
@@ -35,6 +35,7 @@ _INDEX, _MANY = U(1), U(2)
 def _measure(window: int):
     """(rank key, words, digest of the text, digest of the words) of each row."""
 
+    @released
     def run(batches):
         for batch in batches:
             data, at = buffers(batch.column(2))
@@ -62,6 +63,7 @@ _PACKET = "part int, chunk long, low binary, high binary, at_low binary, at_high
 def _probe(block: int, n_parts: int):
     """Packets of every rolling run of `block` words; runs at multiples of it are marked as index. One more row tells a slice's documents."""
 
+    @released
     def run(batches):
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -120,6 +122,7 @@ def _probe(block: int, n_parts: int):
 _MET = "chunk long, at binary, doc_ids binary, ties binary, first binary"
 
 
+@released
 def _meet(batches):
     """Of each hash part: the places, by slice, of probes and blocks that meet one another. Rows on slices pass through."""
     names = ["chunk", "at", "doc_ids", "ties", "first"]
@@ -181,6 +184,7 @@ _WINDOWS = "part int, ranks binary, counts binary, starts binary, h binary, chec
 def _windows(window: int, block: int, n_parts: int):
     """Packets of the windows around anchors: of each window, a slice's first place only. Later ones are repeats already and go in rows without hash."""
 
+    @released
     def run(batches):
         for batch in batches:
             batch = batch.take(pc.sort_indices(batch.column(0)))
@@ -240,6 +244,7 @@ def _later_places(n_parts: int):
         take = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), take(rank), take(start)], ["part", "ranks", "starts"])
 
+    @released
     def run(batches):
         for rows in runs(batches):
             yield from of_part(rows)
@@ -269,6 +274,7 @@ def _later_places(n_parts: int):
     return run
 
 
+@released
 def _gather(batches):
     """Of each part of the documents: (rank, starts) of each document."""
     for rows in runs(batches):
@@ -285,6 +291,7 @@ _CUT = "rank long, n_removed long, kept_sha256 string, kept string"
 
 
 def _cut(window: int, with_text: bool):
+    @released
     def run(batches):
         for batch in batches:
             removed, sha, kept = [], [], []

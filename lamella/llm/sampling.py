@@ -13,6 +13,7 @@ from the seed and the row's key.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from array import array
 from bisect import bisect_right
@@ -23,21 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import bounded
+from .text import released
+
 GENERATION = 20_000
 SPACE = "▁"
 
 
+_UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+
+
 def units_of(text: str) -> list[str]:
-    """Parts over whose borders no piece reaches: words with the space before them, and line feeds."""
-    out: list[str] = []
-    if text:
-        for n, line in enumerate(text.split("\n")):
-            if n:
-                out.append("\n")
-            words = line.split(" ")
-            out.append(words[0] if n else SPACE + words[0])
-            out.extend(SPACE + w for w in words[1:])
-    return [u for u in out if u]
+    """Parts over whose borders no piece reaches: words with the run of spaces before them, line feeds, and runs of spaces at a line's end."""
+    return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 class Lattice:
@@ -192,6 +191,7 @@ def segmentations(table: DataFrame, model_path: str, keys: tuple[str, ...], k: i
     schema = ", ".join([*(f"{c} long" for c in keys), "sample int", "n_pieces long", "ids_crc32 long", "log_prob double", "inclusion double", "round_trip boolean"] + ["ids binary"] * with_ids)
     types = [*(pa.int64() for _ in keys), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()] + [pa.binary()] * with_ids
 
+    @released
     def run(batches):
         key = model_path, theta
         sampler = _samplers.get(key) or _samplers.setdefault(key, Sampler(*key))
@@ -207,5 +207,6 @@ def segmentations(table: DataFrame, model_path: str, keys: tuple[str, ...], k: i
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
+    bounded(table.sparkSession)
     rows = table.select(F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.lit(seed), *keys).alias("_seed"), *(F.col(c).cast("long").alias(c) for c in keys))
     return rows.mapInArrow(run, schema)

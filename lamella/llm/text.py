@@ -5,7 +5,9 @@ A word is a run of bytes other than 0x20 and 0x09-0x0D.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,22 @@ _LOWER[65:91] += 32
 U = np.uint64
 
 
+def released(run: Callable) -> Callable:
+    """run, a generator over a task's batches, that gives free memory back to the system at its end: Python workers live on from stage to stage."""
+
+    @wraps(run)
+    def task(*args):
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, a bijection of 64-bit words."""
     x = x ^ (x >> U(30))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .rows import NEVER, key_of, met
 from .store import Store, bounded
-from .text import U, slices
+from .text import U, released, slices
 
 PREFIXES = (4, 5, 6)
 #: Rows that the model is fitted on, at most, and features that it has, at most.
@@ -76,6 +76,7 @@ def _distinct_features(words) -> tuple[np.ndarray, np.ndarray]:
     return t[new], f[new]
 
 
+@released
 def _count(batches):
     """Texts with each feature, by label, of one partition's slices."""
     for batch in batches:
@@ -189,6 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, usable_rows, terms=IDENTITY_TERMS,
     swaps = [[[at[h] for h in t if h] for t in group] for group in term_hashes]
     blank = Model(features, np.zeros(len(features)), 0.0)
 
+    @released
     def select(batches):
         for batch in batches:
             for i, j, words in slices(batch.column(0), lower=True):
@@ -204,6 +206,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, tie, score, predicted) of each row of docs, in its whole text; tie is a hash of the text. A null or empty text has the model's bias alone."""
     bounded(docs.sparkSession)
 
+    @released
     def run(batches):
         for batch in batches:
             for i, j, words in slices(batch.column(2), lower=True):

@@ -7,10 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import released
+
 
 def usable(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, v, dim): v is the vector as little-endian doubles, null where it is null, empty, or has a null or non-finite component. Zeros have one sign."""
 
+    @released
     def run(batches):
         for batch in batches:
             out, dim = [], []

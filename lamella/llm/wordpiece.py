@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import SLICE_BYTES, buffers
+from .text import SLICE_BYTES, buffers, released
 
 GENERATION = 200_000
 
@@ -115,6 +115,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     doc_id and text are ignored.
     """
 
+    @released
     def run(batches):
         counter = _counters.get(vocabulary_path) or _counters.setdefault(vocabulary_path, Counter(vocabulary_path))
         for batch in batches:

@@ -177,12 +177,13 @@ def test_top_k(spark, vectors, monkeypatch):
 
     for name, n in (("LEAF", 4), ("SHARD_ROWS", 50), ("QUERY_ROWS", 3), ("FIRST_ROWS", 10)):
         monkeypatch.setattr(k, name, n)
-    rows = [(i, v, 1, 2) for i, v in vectors if i not in (407, 408)]
+    vectors = [*vectors, (409, [-1e200] * 8)]  # 400 asks; scores of 407 to 409 are beyond a long
+    vectors = [(i, [1.0] * 8 if i == 400 else v) for i, v in vectors]
+    rows = [(i, v, 1, 2) for i, v in vectors]
     ok = [(i, [int(np.floor(256 * c)) for c in v]) for i, v in vectors if v and None not in v and np.isfinite(np.array(v, float)).all()]
-    ok = [o for o in ok if o[0] not in (407, 408)]
     want = set()
     for q, v in {(i, tuple(v)) for i, v in ok if i % 50 == 0}:
-        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == len(v))[:5]
+        best = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in ok if i != q and len(w) == len(v))[:5]
         want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
     got = k.top_k(spark.createDataFrame(rows, VEC), F.col("vec_id") % 50 == 0)
     assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
@@ -486,6 +487,19 @@ def test_sampling(spark):
     for p, q in paths.items():
         assert abs(first[p] / n - q) < 5 * (q * (1 - q) / n) ** 0.5 + 1e-3
         assert abs(both[p] / n - second[p]) < 5 * (second[p] * (1 - second[p]) / n) ** 0.5 + 1e-3
+    # no piece of the model's own reaches over a unit's border
+    import sentencepiece
+
+    from lamella.llm.sampling import SPACE, units_of
+
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    for x in ("a    b", "  two  spaces   ", "x\n   y  \n", "a  b      c                  d"):
+        borders, at = {0}, 0
+        for piece in own.encode(x, out_type=str):
+            at += len(piece) if not piece.startswith("<0x") else 1
+            borders.add(at)
+        ends = np.cumsum([len(u) for u in units_of(x)]).tolist()
+        assert at == ends[-1] == len(x) + 1 and set(ends) <= borders and "".join(units_of(x)) == SPACE + x.replace(" ", SPACE)
     everything = s.sample("a b", 10_000, 1)
     assert all(i == 1 for _, i, _ in everything) and abs(sum(exp(lp) for lp, _, _ in everything) - 1) < 1e-6
     rows = [(1, 0, None, 1), (1, 1, "", 2), (2, 0, "  two  spaces\n\nand 中文 ✓ lines ", 3), (None, None, "x" * 3000, 4), (3, 0, "word " * 500, 5), (3, 0, "word " * 500, 5)]
@@ -547,3 +561,23 @@ def test_sharding(spark, docs, empty, texts, tmp_path):
     load = [sum(size[s] for s, o in enumerate(grown.owner) if o == k) for k in range(5)]
     assert max(load) - min(load) <= 0.01 * max(load) and grown.version == m.version + 1
     assert all(b in (a, 4) for a, b in zip(m.owner, grown.owner, strict=True))
+
+
+@pytest.mark.parametrize("name", ["op1_minhash_near_dedup", "op2_embedding_near_dedup", "op5_exact_top_k", "op7_substring_dedup"])
+def test_queries_with_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from lamella.llm.queries import ORACLES, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.sql(f"create view {table} as select * from '{folder}/{table}.parquet'")
+    got = QUERIES[name](spark, folder)
+    want = con.sql(ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())
