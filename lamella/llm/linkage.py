@@ -30,9 +30,9 @@ from .components import components
 from .store import Store
 from .text import released
 
-FIRST_HUBS, MORE_HUBS, HUB_BLOCK, BLOCK_ROWS = 64, 16, 256, 4096
-#: So many asked pairs are tested together. Rows carry so many of their node's keys; a pair without a common one among them is tested in each bucket.
-TOGETHER, OWN_KEYS, KEYS_AT_ONCE = 20_000, 64, 512
+FIRST_HUBS, MORE_HUBS, HUB_BLOCK, BLOCK_ROWS = 64, 16, 256, 2048
+#: So many asked pairs are tested together, so many keys looked at together.
+TOGETHER, KEYS_AT_ONCE = 20_000, 512
 #: Takes (contents of hubs, contents of members, which pairs (hub, member) to test) of some blocks; tells which of these pass.
 Block = tuple[list, list, np.ndarray]
 Test = Callable[[list[Block]], list[np.ndarray]]
@@ -153,13 +153,14 @@ def _blocks(n: Column, rows: int) -> Column:
     return F.ceil(n / rows).cast("int")
 
 
-def link(store: Store, buckets: DataFrame, content: DataFrame, test: Test, sketch: DataFrame | None = None, likely: Test | None = None, once: bool = False) -> DataFrame:
+def link(store: Store, buckets: DataFrame, content: DataFrame, test: Test, sketch: DataFrame | None = None, likely: Test | None = None, once: int = 0) -> DataFrame:
     """(node, component) of the nodes that links join.
 
     buckets: kept table (key, node), rows distinct, each key with two nodes or more.
     content: kept table (node, content) for test, which decides pairs.
     sketch: kept table (node, content) for likely, which must pass every pair that test passes.
-    once: whether pairs that share several buckets are kept from being tested in each.
+    once: rows of later rounds carry so many of their node's keys, the smallest. A pair is tested in the bucket of
+    the first common one among them; without one, in each of its buckets.
     """
     own_keys: DataFrame | None = None
 
@@ -195,7 +196,7 @@ def link(store: Store, buckets: DataFrame, content: DataFrame, test: Test, sketc
         rows = _dealt(active, is_hub, _blocks(F.least(F.col("others"), F.lit(2 * hubs)), HUB_BLOCK), _blocks(F.col("n"), BLOCK_ROWS))
         if once:
             if own_keys is None:
-                own_keys = store.keep(starred.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, OWN_KEYS).alias("keys")), "keys")
+                own_keys = store.keep(starred.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, once).alias("keys")), "keys")
             rows = rows.join(own_keys, "node")
         good = decided(rows)
         if not good.isEmpty():

@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     near = texts.select("doc_id", F.lit(0).alias("tie"), "text").where(F.col("doc_id").isNotNull() & might_hold(filter_of(ids)))
     sets = near.select("text").mapInArrow(_sets(words), "digest binary, content binary").where("digest is not null")
     content = store.keep(sets.join(busy.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "content"), "content")
-    found = link(store, buckets, content, _test(percent), marks, _likely(percent))
+    found = link(store, buckets, content, _test(percent), marks, _likely(percent), once=16)
     store.drop(content, marks, buckets, busy)
     named = classes.join(found, "node", "left").select("digest", "low", F.coalesce("component", "node").alias("c"))
     names = named.groupBy("c").agg(F.min("low").alias("component_id"))
