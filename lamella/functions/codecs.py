@@ -23,10 +23,12 @@ class DecodeError(ValueError):
 
 
 def ascii_hex(data: bytes, limit: int) -> bytes:
-    body, mark, _ = data.partition(b">")
+    body, mark, rest = data.partition(b">")
     digits = bytes(c for c in body if c not in WHITE)
     if not mark:
         raise DecodeError("hex-no-end")
+    if rest.strip(WHITE):
+        raise DecodeError("trailing-data")
     if len(digits) > 2 * limit:
         raise DecodeError("output-limit")
     try:
@@ -36,9 +38,11 @@ def ascii_hex(data: bytes, limit: int) -> bytes:
 
 
 def ascii85(data: bytes, limit: int) -> bytes:
-    body, mark, _ = data.partition(b"~>")
+    body, mark, rest = data.partition(b"~>")
     if not mark:
         raise DecodeError("a85-no-end")
+    if rest.strip(WHITE):
+        raise DecodeError("trailing-data")
     out, group = bytearray(), []
     for c in body:
         if c in WHITE:
@@ -75,6 +79,8 @@ def run_length(data: bytes, limit: int) -> bytes:
     while i < len(data):
         n = data[i]
         if n == 128:
+            if i + 1 < len(data):
+                raise DecodeError("trailing-data")
             return bytes(out)
         piece = data[i + 1 : i + 2 + n] if n < 128 else data[i + 1 : i + 2] * (257 - n)
         if len(piece) != (n + 1 if n < 128 else 257 - n):
@@ -96,6 +102,8 @@ def flate(data: bytes, limit: int) -> bytes:
         raise DecodeError("output-limit")
     if not d.eof:
         raise DecodeError("flate-short")
+    if d.unused_data:
+        raise DecodeError("trailing-data")
     return out
 
 

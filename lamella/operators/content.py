@@ -98,6 +98,7 @@ def commands(data: bytes) -> list[dict]:
     out: list[dict] = []
     stack: list[tuple] = []
     ctm, line, leading, points, start = _IDENTITY, _IDENTITY, 0, [], (0, 0)
+    clip: tuple[int, int] | None = None  # operator and rule of a clip that waits for the end of its path
 
     def emit(kind: str, op: int, fill: int = 0, stroke: int = 0, at: list | None = None) -> None:
         xs, ys = zip(*at, strict=True) if at else ((None,), (None,))
@@ -124,12 +125,8 @@ def commands(data: bytes) -> list[dict]:
         elif op in PAINTS:
             if points:
                 emit("paint", n, *PAINTS[op], points)
-            points = []
-        elif op == "n":
-            points = []
         elif op in ("W", "W*"):
-            if points:
-                emit("clip", n, 1 + (op == "W*"), 0, points)
+            clip = n, 1 + (op == "W*")
         elif op == "BT":
             line = _IDENTITY
         elif op == "TL":
@@ -142,6 +139,10 @@ def commands(data: bytes) -> list[dict]:
             line = times((UNIT, 0, 0, UNIT, x, y), line)
         elif op in ("T*", "'", '"'):
             line = times((UNIT, 0, 0, UNIT, 0, -leading), line)
+        if op in PAINTS or op == "n":
+            if clip and points:
+                emit("clip", clip[0], clip[1], 0, points)
+            clip, points = None, []
         if op in ("Tj", "TJ", "'", '"'):
             emit("glyphs", n, at=[point(times(line, ctm), 0, 0)])
         elif op == "Do":

@@ -38,12 +38,14 @@ def lru(accesses: DataFrame, partition: str, seq: str, key: str, weight: str, en
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         held: OrderedDict = OrderedDict()
         total, out = 0, []
-        for row in pdf.sort_values(seq).itertuples(index=False):
+        for row in pdf.sort_values([seq, key]).itertuples(index=False):
             k, w, s = getattr(row, key), int(getattr(row, weight)), getattr(row, seq)
             hit, evicted = k in held, 0
-            if hit:
+            if hit and held[k] == w:
                 held.move_to_end(k)
-            elif w <= capacity:
+            elif hit:  # the same key with another weight is replaced
+                total -= held.pop(k)
+            if k not in held and w <= capacity:
                 held[k], total = w, total + w
                 while len(held) > entries or total > capacity:
                     _, gone = held.popitem(last=False)

@@ -1,55 +1,93 @@
-"""Trees of rows (id, parent): inheritance, subtree counts, visibility, dependency closure.
+"""Trees of rows (id, parent): inheritance, subtree counts, visibility, outcomes; dependency closure.
 
-Recursion walks from every node to its ancestors, so it takes as many rounds as the tree is deep.
+Pointers double: after round k a node points 2^k levels up and holds what lies
+in between, so a tree of depth d takes log2(d) rounds of one join each, whatever its shape.
+Rounds end when no pointer is left, or after more doublings than there are nodes: what then still points lies on or under a cycle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..session import kept
+
+
+def _doubled(state: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The state (id, up, ...) after so many steps that up is null everywhere but on and under cycles."""
+    state = kept(state)
+    rounds = state.count().bit_length() + 1
+    while rounds and not state.where("up is not null").isEmpty():
+        state, rounds = kept(step(state)), rounds - 1
+    return state
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(id, ancestor, distance) with each node as its own at distance 0."""
-    nodes.createOrReplaceTempView("_lamella_nodes")
-    return nodes.sparkSession.sql("""
-        WITH RECURSIVE up(id, ancestor, distance, next) AS (
-            SELECT id, id, 0, parent FROM _lamella_nodes
-            UNION ALL
-            SELECT u.id, n.id, u.distance + 1, n.parent FROM up u JOIN _lamella_nodes n ON n.id = u.next
-        ) SELECT id, ancestor, distance FROM up""")
+
+def _above(state: DataFrame, *columns: str) -> DataFrame:
+    """The state as what pointers point to: (up, and above_<column>)."""
+    return state.select(F.col("id").alias("up"), *(F.col(c).alias(f"above_{c}") for c in columns))
 
 
 def inherited(nodes: DataFrame, value: str) -> DataFrame:
-    """(id, value, distance): the value of the nearest node at or above that has one; null if none has."""
-    ancestors(nodes).createOrReplaceTempView("_lamella_up")
-    nodes.createOrReplaceTempView("_lamella_valued")
-    return nodes.sparkSession.sql(f"""
-        SELECT u.id, min_by(v.{value}, u.distance) FILTER (WHERE v.{value} IS NOT NULL) AS {value},
-               min(u.distance) FILTER (WHERE v.{value} IS NOT NULL) AS distance
-        FROM _lamella_up u JOIN _lamella_valued v ON v.id = u.ancestor GROUP BY u.id""")
+    """(id, value, distance): the value of the nearest node at or above that has one; null if none has. On a cycle the nearest one around it counts."""
+    own = F.when(F.col(value).isNull(), F.col("parent"))
+    state = nodes.select("id", own.alias("up"), F.col(value).alias("v"), F.when(F.col(value).isNotNull(), 0).alias("d"), F.lit(1).alias("span"))
+
+    def step(s: DataFrame) -> DataFrame:
+        j = s.join(_above(s.withColumn("next", F.col("up")).withColumn("known", F.lit(True)), "next", "v", "d", "span", "known"), "up", "left")
+        # a node with a value above it is done; so is one that points at nothing
+        going = F.col("up").isNotNull() & F.col("above_known").isNotNull()
+        done = going & F.col("above_d").isNotNull()
+        return j.select(
+            "id", F.when(going & ~done, F.col("above_next")).alias("up"), F.when(done, F.col("above_v")).otherwise(F.col("v")).alias("v"),
+            F.when(done, F.col("span") + F.col("above_d")).otherwise(F.col("d")).alias("d"), F.when(going, F.col("span") + F.col("above_span")).otherwise(F.col("span")).alias("span"),
+        )
+
+    return _doubled(state, step).select("id", F.col("v").alias(value), F.col("d").alias("distance"))
+
+
+def _gathered(state: DataFrame, given, further) -> DataFrame:
+    """One round of sums: n grows by what the nodes that point here give; pointers go on where `further` (of above_ columns) allows."""
+    more = state.where("up is not null").groupBy("up").agg(F.sum(given).alias("more")).withColumnRenamed("up", "id")
+    j = state.join(more, "id", "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0))).drop("more")
+    above = _above(state.withColumn("next", F.col("up")), "next", *(c for c in state.columns if c not in ("id", "up", "n")))
+    j = j.join(above, "up", "left").withColumn("up", F.when(further, F.col("above_next")))
+    return j.select(*state.columns)
 
 
 def subtree_counts(nodes: DataFrame) -> DataFrame:
-    """(id, leaves, declared, ok) of inner nodes of (id, parent, is_leaf, declared)."""
-    ancestors(nodes).createOrReplaceTempView("_lamella_up")
-    nodes.createOrReplaceTempView("_lamella_counted")
-    return nodes.sparkSession.sql("""
-        SELECT n.id, coalesce(k.leaves, 0) AS leaves, n.declared, coalesce(k.leaves, 0) = n.declared AS ok
-        FROM _lamella_counted n LEFT JOIN (
-            SELECT u.ancestor AS id, count(*) AS leaves FROM _lamella_up u JOIN _lamella_counted l ON l.id = u.id AND l.is_leaf GROUP BY u.ancestor
-        ) k ON k.id = n.id WHERE NOT n.is_leaf""")
+    """(id, leaves, declared, ok) of inner nodes of (id, parent, is_leaf, declared). Counts on a cycle mean nothing: see outcomes."""
+    state = nodes.select("id", F.col("parent").alias("up"), F.col("is_leaf").cast("long").alias("n"))
+    counted = _doubled(state, lambda s: _gathered(s, F.col("n"), F.lit(True))).select("id", F.col("n").alias("leaves"))
+    return nodes.where("not is_leaf").join(counted, "id").select("id", "leaves", "declared", (F.col("leaves") == F.col("declared")).alias("ok"))
 
 
 def visible_descendants(nodes: DataFrame) -> DataFrame:
     """(id, visible): descendants of (id, parent, open) that show when the node is opened: all nodes between are open."""
-    nodes.createOrReplaceTempView("_lamella_outline")
-    return nodes.sparkSession.sql("""
-        WITH RECURSIVE up(id, ancestor, next, shown) AS (
-            SELECT id, id, parent, true FROM _lamella_outline
-            UNION ALL
-            SELECT u.id, n.id, n.parent, n.open FROM up u JOIN _lamella_outline n ON n.id = u.next WHERE u.shown
-        ) SELECT o.id, coalesce(k.n, 0) AS visible FROM _lamella_outline o LEFT JOIN
-          (SELECT ancestor AS id, count(*) AS n FROM up WHERE ancestor <> id GROUP BY ancestor) k ON k.id = o.id""")
+    state = nodes.select("id", F.col("parent").alias("up"), F.lit(0).cast("long").alias("n"), F.col("open").cast("boolean").alias("open"))
+    given = F.when(F.col("open"), F.col("n") + 1).otherwise(1)
+    return _doubled(state, lambda s: _gathered(s, given, F.col("above_open"))).select("id", F.col("n").alias("visible"))
+
+
+def outcomes(nodes: DataFrame) -> DataFrame:
+    """(id, outcome, depth) of (id, parent): root with its distance if the way up ends, missing if it ends at a parent that is no node, cycle (no depth) if it never ends."""
+    state = nodes.select("id", F.col("parent").alias("up"), F.lit(0).alias("d"), F.lit(1).alias("span"), F.lit("root").alias("end"))
+
+    def step(s: DataFrame) -> DataFrame:
+        j = s.join(_above(s.withColumn("next", F.col("up")).withColumn("known", F.lit(True)), "next", "d", "span", "end", "known"), "up", "left")
+        at = F.col("up").isNotNull()
+        lost = at & F.col("above_known").isNull()
+        ended = at & ~lost & F.col("above_next").isNull()
+        return j.select(
+            "id", F.when(at & ~lost, F.col("above_next")).alias("up"),
+            F.when(lost, F.col("span") - 1).when(ended, F.col("span") + F.col("above_d")).otherwise(F.col("d")).alias("d"),
+            F.when(at & ~lost, F.col("span") + F.col("above_span")).otherwise(F.col("span")).alias("span"),
+            F.when(lost, F.lit("missing")).when(ended, F.col("above_end")).otherwise(F.col("end")).alias("end"),
+        )
+
+    end = F.when(F.col("up").isNotNull(), "cycle").otherwise(F.col("end"))
+    return _doubled(state, step).select("id", end.alias("outcome"), F.when(F.col("up").isNull(), F.col("d")).alias("depth"))
 
 
 def dependency_closure(requirements: DataFrame, dependencies: DataFrame) -> DataFrame:

@@ -111,6 +111,22 @@ def inherit_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.inherited(_tree(spark, sf_dir), "balance")
 
 
+@query(f"""
+    WITH RECURSIVE refs AS ({_REFS}), walk(id, depth, next, path) AS (
+        SELECT id, 0, next, [id] FROM refs
+        UNION ALL SELECT w.id, w.depth + 1, r.next, list_append(w.path, r.id) FROM walk w JOIN refs r ON r.id = w.next WHERE NOT list_contains(w.path, w.next)),
+    ends AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth DESC) AS k FROM walk)
+    SELECT id, CASE WHEN next IS NULL THEN 'root' WHEN list_contains(path, next) THEN 'cycle' ELSE 'missing' END AS outcome,
+           CASE WHEN next IS NULL OR NOT list_contains(path, next) THEN depth END AS depth
+    FROM ends WHERE k = 1""")
+def tree_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the ways up of all nodes end, without a bound on their length."""
+    part = table(spark, sf_dir, "part")
+    n = part.agg(F.floor(F.count("*") * 11 / 10).alias("m"))
+    parent = F.when(F.col("p_size") > 5, (F.col("p_partkey") * 37 + F.col("p_size")) % F.col("m") + 1)
+    return trees.outcomes(part.crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("id"), parent.alias("parent")))
+
+
 _OUTLINE = "outline AS (SELECT event_id AS id, CASE WHEN event_id > 0 THEN event_id // 6 END AS parent, event_type <> 'error' AS open FROM events)"
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +25,20 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written once in the folder that the cluster shares, and read again: the plan ends there.
+
+    The folder is that of ``spark.checkpoint.dir``; where it is unset, local mode gets a temporary one and a cluster must name one.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lamella-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/lamella-rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The fields of a manifest entry.
 MANIFEST = "sha256 string, path string, tier string, page_count long, license_expression string, features array<string>"
 
 

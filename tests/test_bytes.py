@@ -88,17 +88,19 @@ def test_coalescing_boundaries(spark):
         df = spark.createDataFrame([(0, a, a + n, 1) for a, n in rows], "k long, s long, e long, p long")
         return sorted((r.merged_start, r.merged_end) for r in coalesce_ranges(df, ["k"], "s", "e", "p", gap).collect())
 
-    assert merged([(47, 2), (12, 4), (40, 5), (10, 4)], 3) == [(10, 16), (40, 49)]
-    assert merged([(0, 4), (6, 2)], 2) == [(0, 4), (6, 8)] and merged([(0, 4), (6, 2)], 3) == [(0, 8)]
-    assert merged([(10, 2), (12, 2)], 0) == [(10, 12), (12, 14)] and merged([(20, 3), (22, 3)], 0) == [(20, 25)]
+    # a gap of one less than the threshold joins, the threshold itself does not
+    assert merged([(105, 10), (300, 1), (90, 12), (119, 6)], 5) == [(90, 125), (300, 301)]
+    assert merged([(1, 9), (17, 3)], 7) == [(1, 10), (17, 20)] and merged([(1, 9), (17, 3)], 8) == [(1, 20)]
+    # with no threshold neighbours stay apart, overlaps do not
+    assert merged([(33, 7), (40, 7)], 0) == [(33, 40), (40, 47)] and merged([(33, 8), (40, 7)], 0) == [(33, 47)]
 
 
 def test_nearest_rank(spark):
     from lamella.operators.statistics import sample_summary
 
-    df = spark.createDataFrame([("n", v) for v in range(1, 101)] + [("s", v) for v in (100, 80, 120, 90, 110)], "k string, v long")
+    df = spark.createDataFrame([("n", 3 * v) for v in range(40)] + [("s", v) for v in (7, 31, 2)], "k string, v long")
     got = {r.k: (r.min_v, r.p50, r.p95, r.p99, r.max_v, r.adequacy) for r in sample_summary(df, ["k"], "v", 6).collect()}
-    assert got == {"n": (1, 50, 95, 99, 100, "meets-configured-minimum"), "s": (80, 100, 120, 120, 120, "insufficient")}
+    assert got == {"n": (0, 57, 111, 117, 117, "meets-configured-minimum"), "s": (2, 7, 31, 31, 31, "insufficient")}
 
 
 def test_generation_stream(spark, tmp_path):
@@ -137,3 +139,43 @@ def test_segmented_cache(spark):
 
     df = spark.createDataFrame([(1, i, k, v) for i, (k, v) in enumerate([(10, 0), (11, 1), (12, 1), (13, 1), (11, 1)])], "p long, s long, k long, v long")
     assert [(r.hit, r.evicted) for r in segmented(df, "p", "s", "k", "v", 3).orderBy("s").collect()] == [(False, None), (False, None), (False, None), (False, 10), (True, None)]
+
+
+def test_bytes_after_the_end():
+    import base64
+    import zlib
+
+    from lamella.functions.codecs import DecodeError, ascii85, ascii_hex, flate, run_length
+
+    whole = [(ascii_hex, b"41 42>"), (run_length, b"\x01AB\x80"), (flate, zlib.compress(b"AB")), (ascii85, base64.a85encode(b"AB") + b"~>")]
+    for f, data in whole:
+        assert f(data, 100) == b"AB"
+        try:
+            f(data + b"x", 100)
+        except DecodeError as e:
+            assert str(e) == "trailing-data"
+        else:
+            raise AssertionError(f)
+    assert ascii_hex(b"4142> \n\x00", 9) == b"AB"
+
+
+def test_deep_trees_and_cycles(spark):
+    from pyspark.sql import functions as F
+
+    from lamella.operators import trees
+
+    n = 1000
+    chain = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), (F.col("id") == n - 1).alias("is_leaf"), F.lit(1).alias("declared"), (F.col("id") != 500).alias("open"), F.when(F.col("id") == 3, 7).alias("v"))
+    assert trees.subtree_counts(chain).where("ok").count() == n - 1
+    seen = {r.id: r.visible for r in trees.visible_descendants(chain).collect()}
+    assert seen == {i: (500 - i if i < 500 else n - 1 - i) for i in range(n)}
+    got = {r.id: (r.v, r.distance) for r in trees.inherited(chain, "v").collect()}
+    assert got == {i: ((7, i - 3) if i >= 3 else (None, None)) for i in range(n)}
+    odd = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, None), (5, 4), (6, 99), (7, 6), (8, 8)], "id long, parent long")
+    assert sorted(tuple(r) for r in trees.outcomes(odd).collect()) == [(1, "cycle", None), (2, "cycle", None), (3, "cycle", None), (4, "root", 0), (5, "root", 1), (6, "missing", 0), (7, "missing", 1), (8, "cycle", None)]
+
+
+def test_clip_follows_its_paint():
+    from lamella.operators.content import commands
+
+    assert [c["kind"] for c in commands(b"q 0 0 1 1 re W f 0 0 2 2 re W* n Q")] == ["save", "paint", "clip", "clip", "restore"]
