@@ -30,7 +30,7 @@ from .components import components
 from .store import Store
 from .text import released
 
-FIRST_HUBS, MORE_HUBS, HUB_BLOCK, BLOCK_ROWS = 64, 16, 256, 2048
+FIRST_HUBS, MORE_HUBS, HUB_BLOCK, BLOCK_ROWS = 64, 16, 1024, 2048
 #: So many asked pairs are tested together, so many keys looked at together.
 TOGETHER, KEYS_AT_ONCE = 20_000, 512
 #: Takes (contents of hubs, contents of members, which pairs (hub, member) to test) of some blocks; tells which of these pass.
@@ -164,9 +164,10 @@ def link(store: Store, buckets: DataFrame, content: DataFrame, test: Test, sketc
     """
     own_keys: DataFrame | None = None
 
-    def decided(rows: DataFrame) -> DataFrame:
+    def decided(rows: DataFrame, keys: DataFrame | None = None) -> DataFrame:
         def meet(rows: DataFrame, of: DataFrame, run, schema: str) -> DataFrame:
-            full = rows.join(of, "node").select("key", "i", "j", "node", "c", "hub", "content", *["keys"] * ("keys" in rows.columns))
+            full = rows.join(of, "node") if keys is None else rows.join(of, "node").join(keys, "node")
+            full = full.select("key", "i", "j", "node", "c", "hub", "content", *["keys"] * (keys is not None))
             return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("hub")).mapInArrow(run, schema).distinct()
 
         some = None
@@ -197,8 +198,7 @@ def link(store: Store, buckets: DataFrame, content: DataFrame, test: Test, sketc
         if once:
             if own_keys is None:
                 own_keys = store.keep(starred.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, once).alias("keys")), "keys")
-            rows = rows.join(own_keys, "node")
-        good = decided(rows)
+        good = decided(rows, own_keys)
         if not good.isEmpty():
             stars = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
             found = components(store, stars.unionByName(good))
