@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Store
-from .text import SLICE_BYTES, buffers, released
+from .text import buffers, released
 from .tokens import encoder
 
 SALTS, ROWS_A_SALT = 64, 100_000
+#: Texts are encoded in runs of so many bytes, in which many chunks repeat.
+ENCODE_BYTES = 1 << 22
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -78,7 +80,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
             data, at = buffers(batch.column(1))
             ids, i, n = batch.column(0).to_pylist(), 0, batch.num_rows
             while i < n:
-                j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE_BYTES, "right")) - 1)
+                j = max(i + 1, int(np.searchsorted(at, at[i] + ENCODE_BYTES, "right")) - 1)
                 out = ([], [], [], [], [], [])
                 for k, seq in zip(range(i, j), coder.encode([data[at[k] : at[k + 1]].tobytes() for k in range(i, j)]), strict=True):
                     seq += tail
