@@ -245,3 +245,32 @@ def decoded(data: Column, filters: Column, limit: int = 1 << 24) -> Column:
         return pd.DataFrame(out, columns=["status", "data", "code"])
 
     return run(data, filters)
+
+
+def unpredict(data: bytes, predictor: int, columns: int, colors: int = 1, bits: int = 8) -> bytes:
+    """Undoes a predictor by its number: 1 none, 2 differences of 8-bit samples, 10 to 15 rows that name their own."""
+    if predictor == 1:
+        return data
+    if columns < 1 or colors < 1:
+        raise DecodeError("predictor-parameters")
+    if predictor == 2 and bits == 8:
+        return tiff_rows(data, columns, colors)
+    if 10 <= predictor <= 15:
+        return png_rows(data, columns, colors, bits)
+    raise DecodeError("predictor-unsupported")
+
+
+def predicted(data: Column, predictor: Column, columns: Column) -> Column:
+    """A struct (status, data, code) of binary data after its predictor."""
+
+    @F.pandas_udf(OUTCOME)
+    def run(d: pd.Series, p: pd.Series, c: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, kind, width in zip(d, p, c, strict=True):
+            try:
+                out.append(("ready", unpredict(bytes(x), int(kind), int(width)), None) if x is not None else ("failed", None, "missing"))
+            except DecodeError as e:
+                out.append(("unsupported" if str(e) == "predictor-unsupported" else "failed", None, str(e)))
+        return pd.DataFrame(out, columns=["status", "data", "code"])
+
+    return run(data, predictor, columns)
