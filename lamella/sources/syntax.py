@@ -13,9 +13,9 @@ _NUMBER = re.compile(rb"[+-]?(\d+\.?\d*|\.\d+)")
 _SKIP = re.compile(rb"(?:[\x00\t\n\x0c\r ]|%[^\r\n]*)*")
 
 
-def tokens(data: bytes) -> Iterator[tuple[str, object, int, int]]:
-    """(kind, value, start, end): int, real (kept as text), name, string, hex, open, close, keyword."""
-    i, n = 0, len(data)
+def tokens(data: bytes, i: int = 0) -> Iterator[tuple[str, object, int, int]]:
+    """From byte i on, (kind, value, start, end): int, real (kept as text), name, string, hex, open, close, keyword."""
+    n = len(data)
     while (i := _SKIP.match(data, i).end()) < n:
         start, c = i, data[i : i + 1]
         if data[i : i + 2] in (b"<<", b">>"):
