@@ -67,3 +67,45 @@ def tile_commands(commands: DataFrame, size: int, columns: int, rows: int) -> Da
     state = commands.where("is_state").withColumn("tx", grid(columns)).withColumn("ty", grid(rows))
     seen = tiles(commands.where("not is_state"), size).where((F.col("tx") < columns) & (F.col("ty") < rows))
     return state.unionByName(seen)
+
+
+#: What each action does to a surface in each state: the next state and the outcome. Anything else leaves the state as it is.
+SURFACE = {
+    ("none", "allocate"): ("private", "done"),
+    ("private", "write"): ("written", "done"),
+    ("written", "write"): ("written", "done"),
+    ("private", "publish"): ("private", "incomplete"),
+    ("written", "publish"): ("available", "done"),
+    ("available", "transfer"): ("transferred", "done"),
+    ("transferred", "transfer"): ("transferred", "consumed"),
+    ("imported", "transfer"): ("imported", "consumed"),
+    ("available", "import"): ("available", "consumed"),
+    ("transferred", "import"): ("imported", "done"),
+    ("imported", "import"): ("imported", "consumed"),
+    ("available", "acquire"): ("available", "handle"),
+    ("transferred", "acquire"): ("transferred", "handle"),
+    ("imported", "acquire"): ("imported", "done"),
+    ("released", "release"): ("released", "already-released"),
+    **{(state, action): ("released", "done") for action in ("release", "close") for state in ("private", "written", "available", "transferred", "imported")},
+    **{(state, "expire"): ("released", "done") for state in ("available", "transferred", "imported")},
+}
+
+
+def automaton(events: DataFrame, key: str, order: str, action: str, moves: dict[tuple[str, str], tuple[str, str]], start: str, refused: str) -> DataFrame:
+    """(key, order, action, state, outcome) of each event: the state of its key after it by the table of moves, or the state as it was and `refused`.
+
+    The events of one key are folded as one array: keys are things with a short life, such as surfaces, not sessions.
+    """
+    table = F.create_map(*(F.lit(x) for (state, act), (after, outcome) in moves.items() for x in (f"{state}|{act}", f"{after}|{outcome}")))
+
+    def step(s, x):
+        move = F.coalesce(F.try_element_at(table, F.concat(s["at"], F.lit("|"), x[action])), F.concat(s["at"], F.lit(f"|{refused}")))
+        after = F.split_part(move, F.lit("|"), F.lit(1))
+        done = F.struct(x[order].alias(order), x[action].alias(action), after.alias("state"), F.split_part(move, F.lit("|"), F.lit(2)).alias("outcome"))
+        return F.struct(after.alias("at"), F.concat(s["log"], F.array(done)).alias("log"))
+
+    kind = dict(events.dtypes)
+    empty = F.array().cast(f"array<struct<{order}:{kind[order]},{action}:string,state:string,outcome:string>>")
+    begin = F.struct(F.lit(start).alias("at"), empty.alias("log"))
+    told = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, action))).alias("_e"))
+    return told.select(key, F.inline(F.aggregate("_e", begin, step, lambda s: s["log"])))

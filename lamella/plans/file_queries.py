@@ -68,3 +68,26 @@ def document_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = documents.objects(_bytes(spark, sf_dir), "c_custkey")
     return o.select("c_custkey", "object", "type", F.when(F.col("object") == 3, F.col("value")).alias("text"), F.decode("stream", "UTF-8").alias("stream"), "outcome")
+
+
+_TREE = "<< /Type /Pages /Kids ["
+
+
+@query("""
+    SELECT s_suppkey, 2 AS root, 1 + s_suppkey % 5 AS pages, CASE WHEN s_suppkey % 4 = 3 THEN 'count-mismatch' ELSE 'ready' END AS outcome FROM supplier""")
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page tree of one to five pages for each supplier; every fourth declares one page too many."""
+    k = F.col("s_suppkey")
+    n = (k % 5 + 1).cast("int")
+    numbers = F.transform(F.sequence(F.lit(3), n + 2), lambda i: i.cast("string"))
+    kids = F.array_join(F.transform(numbers, lambda i: F.concat(i, F.lit(" 0 R"))), " ")
+    tree = F.concat(F.lit(f"2 0 obj\n{_TREE}"), kids, F.lit("] /Count "), (n + F.when(k % 4 == 3, 1).otherwise(0)).cast("string"), F.lit(" >>\nendobj\n"))
+    page = "%s 0 obj\n<< /Type /Page >>\nendobj\n"
+    pages = F.array_join(F.transform(numbers, lambda i: F.concat(i, F.lit(page[2:]))), "")
+    at_3 = F.lit(_AT_2) + F.length(tree)
+    row = lambda at: F.concat(F.lpad(at.cast("string"), 10, "0"), F.lit(" 00000 n \n"))
+    rows = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: row(at_3 + i * (len(page) - 1))), "")
+    at_x = at_3 + n * (len(page) - 1)
+    text = F.concat(F.lit(_FIRST), tree, pages, F.lit("xref\n0 "), (n + 3).cast("string"), F.lit("\n0000000000 65535 f \n"), row(F.lit(9)), row(F.lit(_AT_2)), rows, F.lit("trailer\n<< /Root 1 0 R >>\nstartxref\n"), at_x.cast("string"), F.lit("\n%%EOF\n"))
+    docs = table(spark, sf_dir, "supplier").select("s_suppkey", F.encode(text, "UTF-8").alias("content"))
+    return documents.page_counts(documents.objects(docs, "s_suppkey"), "s_suppkey")

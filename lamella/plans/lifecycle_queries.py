@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_point as fx
@@ -63,3 +63,21 @@ def tile_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     commands = table(spark, sf_dir, "orders").select("o_orderkey", (k % 50 == 0).alias("is_state"), x0.alias("x0"), y0.alias("y0"), (x0 + k % 90).alias("x1"), (y0 + c % 70).alias("y1"))
     on = lifecycles.tile_commands(commands, 64, 8, 5)
     return on.groupBy("tx", "ty").agg(F.count_if("is_state").alias("state_commands"), F.count_if(~F.col("is_state")).alias("visible_commands"), F.min("o_orderkey").alias("first_command"))
+
+
+_ACTIONS = ["allocate", "write", "publish", "transfer", "import", "acquire", "write", "release", "expire", "close", "transfer", "publish"]
+_MOVES = "MAP {" + ", ".join(f"'{a}|{b}': '{c}|{d}'" for (a, b), (c, d) in lifecycles.SURFACE.items()) + "}"
+
+
+@query(f"""
+    WITH RECURSIVE t AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, {_ACTIONS}[CASE WHEN l_orderkey % 3 = 0 THEN l_partkey % 12 ELSE (l_linenumber - 1) % 12 END + 1] AS action FROM lineitem),
+      w AS (SELECT l_orderkey, 0::BIGINT AS n, ''::VARCHAR AS action, 'none' AS state, '' AS outcome FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+            UNION ALL SELECT w.l_orderkey, t.n, t.action, split_part(coalesce({_MOVES}[w.state || '|' || t.action], w.state || '|refused'), '|', 1), split_part(coalesce({_MOVES}[w.state || '|' || t.action], w.state || '|refused'), '|', 2) FROM w JOIN t ON t.l_orderkey = w.l_orderkey AND t.n = w.n + 1)
+    SELECT * FROM w WHERE n > 0""")
+def surface_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as actions on one surface: in two of three orders as they should come, else in any order."""
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    k = F.when(F.col("l_orderkey") % 3 == 0, F.col("l_partkey") % 12).otherwise((F.col("l_linenumber") - 1) % 12) + 1
+    action = F.element_at(F.array(*(F.lit(a) for a in _ACTIONS)), k.cast("int"))
+    events = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(place).cast("long").alias("n"), action.alias("action"))
+    return lifecycles.automaton(events, "l_orderkey", "n", "action", lifecycles.SURFACE, "none", "refused")

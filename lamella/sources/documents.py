@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.codecs import DecodeError, decode, unpredict
 from ..operators.revisions import latest_wins
+from ..operators.trees import subtree_counts
 from .syntax import anchor_kind, field, final_anchor, object_stream, tokens, xref_stream_rows, xref_table
 from .syntax import _object as read_object
 
@@ -112,8 +113,8 @@ def entries_of(data: bytes) -> tuple[list[Row], dict]:
     raise DecodeError("revision-limit")
 
 
-def objects_of(data: bytes) -> Iterator[tuple[int, int, str, str | None, bytes | None, str]]:
-    """(object, generation, type, value as JSON, decoded stream, outcome) of every live object; one that does not decode has its code as the outcome."""
+def objects_of(data: bytes) -> Iterator[tuple]:
+    """(object, generation, type, numbers of its kids, its count, value as JSON, decoded stream, outcome) of every live object; one that does not decode has its code as the outcome."""
     live: dict[int, Row] = {}
     for row in entries_of(data)[0]:
         live.setdefault(row[2], row)
@@ -153,9 +154,12 @@ def objects_of(data: bytes) -> Iterator[tuple[int, int, str, str | None, bytes |
                 stream = stream_bytes(value, raw) if raw is not None else None
             is_dict = isinstance(value, dict) and "dict" in value
             name = field(value, "Type") if is_dict else None
-            yield number, generation, name["name"] if isinstance(name, dict) and "name" in name else None, json.dumps(value, default=lambda b: b.decode("latin-1")), stream, "ready"
+            kids = field(value, "Kids") if is_dict else None
+            below = [k["ref"][0] for k in kids if isinstance(k, dict) and "ref" in k] if isinstance(kids, list) else None
+            count = field(value, "Count") if is_dict else None
+            yield number, generation, name["name"] if isinstance(name, dict) and "name" in name else None, below, count if isinstance(count, int) else None, json.dumps(value, default=lambda b: b.decode("latin-1")), stream, "ready"
         except DecodeError as e:
-            yield number, generation, None, None, None, str(e)
+            yield number, generation, None, None, None, None, None, str(e)
 
 
 def _each(docs: DataFrame, key: str, content: str, schema: str, rows: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
@@ -188,4 +192,20 @@ def effective_entries(rows: DataFrame, key: str = "path") -> DataFrame:
 
 def objects(docs: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """Every live object of documents as bytes, with its value and decoded stream."""
-    return _each(docs, key, content, "object long, generation long, type string, value string, stream binary, outcome string", objects_of)
+    return _each(docs, key, content, "object long, generation long, type string, kids array<long>, declared long, value string, stream binary, outcome string", objects_of)
+
+
+def page_counts(rows: DataFrame, key: str = "path") -> DataFrame:
+    """(key, root, pages, outcome) of the page tree of each document from its objects: 'ready', 'count-mismatch' at some inner node, or 'child-repeats'."""
+    nodes = rows.where("outcome = 'ready' and type in ('Pages', 'Page')").select(key, "object", "type", "kids", "declared")
+    below = nodes.where("type = 'Pages'").select(key, F.col("object").alias("_parent"), F.explode("kids").alias("object"))
+    placed = below.groupBy(key, "object").agg(F.min("_parent").alias("_parent"), F.count("*").alias("_times"))
+    tree = nodes.join(placed, [key, "object"], "left")
+    name = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(key).alias("k"), F.col(c).alias("o")))
+    counts = subtree_counts(tree.select(name("object").alias("id"), name("_parent").alias("parent"), (F.col("type") == "Page").alias("is_leaf"), "declared"))
+    repeats = tree.groupBy(key).agg(F.max(F.coalesce("_times", F.lit(0)) > 1).alias("_repeats"))
+    roots = tree.where("type = 'Pages' and _parent is null").groupBy(key).agg(F.min("object").alias("root"))
+    whole = counts.groupBy(F.col("id.k").alias(key)).agg(F.min("ok").alias("_ok"))
+    at_root = counts.select(F.col("id.k").alias(key), F.col("id.o").alias("root"), F.col("leaves").cast("long").alias("pages"))
+    outcome = F.when(F.col("_repeats"), "child-repeats").when(F.col("_ok"), "ready").otherwise("count-mismatch")
+    return roots.join(at_root, [key, "root"]).join(whole, key).join(repeats, key).select(key, "root", "pages", outcome.alias("outcome"))

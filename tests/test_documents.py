@@ -53,7 +53,7 @@ def table_document(prev=None, hybrid=False):
 
 
 def live(data):
-    return {n: (json.loads(v) if v else None, outcome) for n, _, _, v, _, outcome in documents.objects_of(data)}
+    return {n: (json.loads(v) if v else None, outcome) for n, _, _, _, _, v, _, outcome in documents.objects_of(data)}
 
 
 @pytest.mark.parametrize("predictor", [False, True])
