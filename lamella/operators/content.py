@@ -10,15 +10,30 @@ from pyspark.sql import DataFrame
 from ..functions.codecs import DecodeError
 from ..sources.syntax import tokens
 
-# Operator tokens with their number of operands. A range is written low-high.
-ARITY = {
-    "q": "0", "Q": "0", "gs": "1", "ri": "1", "cm": "6", "BT": "0", "ET": "0", "Tc": "1", "Tw": "1", "Tz": "1", "TL": "1",
-    "Tf": "2", "Tr": "1", "Ts": "1", "Td": "2", "TD": "2", "Tm": "6", "T*": "0", "Tj": "1", "TJ": "1", "'": "1", '"': "3",
-    "BX": "0", "EX": "0", "MP": "1", "DP": "2", "BMC": "1", "BDC": "2", "EMC": "0", "m": "2", "l": "2", "c": "6", "v": "4",
-    "y": "4", "h": "0", "re": "4", "S": "0", "s": "0", "f": "0", "F": "0", "f*": "0", "B": "0", "B*": "0", "b": "0", "b*": "0",
-    "n": "0", "W": "0", "W*": "0", "w": "1", "J": "1", "j": "1", "M": "1", "d": "2", "G": "1", "g": "1", "RG": "3", "rg": "3",
-    "K": "4", "k": "4", "CS": "1", "cs": "1", "SC": "1-4", "sc": "1-4", "SCN": "1-4", "scn": "1-4", "Do": "1",
-}
+# Operators by the shape of their operands. n number, i whole number, N name, s string, a array, A array of numbers, D name or dictionary; c stands for one to four numbers.
+SHAPES = {
+    "": "q Q BT ET T* BX EX EMC h S s f F f* B B* b b* n W W*",
+    "n": "Tc Tw Tz TL Ts w M G g",
+    "i": "Tr J j",
+    "N": "gs ri MP BMC CS cs Do",
+    "s": "Tj '",
+    "a": "TJ",
+    "nn": "Td TD m l",
+    "Nn": "Tf",
+    "ND": "DP BDC",
+    "An": "d",
+    "nnn": "RG rg",
+    "nns": '"',
+    "nnnn": "v y re K k",
+    "nnnnnn": "cm Tm c",
+    "c": "SC sc SCN scn",
+}
+OPERANDS = {op: shape for shape, ops in SHAPES.items() for op in ops.split()}
+ARITY = {op: (1, 4) if shape == "c" else (len(shape), len(shape)) for op, shape in OPERANDS.items()}
+_FITS = {"n": ("int", "real"), "i": ("int",), "N": ("name",), "s": ("string", "hex"), "a": ("array", "numbers"), "A": ("numbers",), "D": ("name", "dict")}
+# Device colour spaces with their first colour.
+SPACES = {"DeviceGray": (0,), "DeviceRGB": (0, 0, 0), "DeviceCMYK": (0, 0, 0, 1)}
+_COLORS = {"G": "DeviceGray", "RG": "DeviceRGB", "K": "DeviceCMYK"}
 # Operators of text objects alone.
 TEXT_ONLY = {"Td", "TD", "Tm", "T*", "Tj", "TJ", "'", '"'}
 PAINTS = {"S": (0, 1), "s": (0, 1), "f": (1, 0), "F": (1, 0), "f*": (2, 0), "B": (1, 1), "B*": (2, 1), "b": (1, 1), "b*": (2, 1)}
@@ -46,39 +61,48 @@ def point(m: tuple, x: int, y: int) -> tuple[int, int]:
     return _div(m[0] * x + m[2] * y + m[4] * UNIT), _div(m[1] * x + m[3] * y + m[5] * UNIT)
 
 
-def program(data: bytes) -> list[tuple[int, str, list, int]]:
-    """(ordinal, operator, operands, offset); arrays are lists. Unknown operators are rows like others."""
-    out, operands, open_ = [], [], []
+def _program(data: bytes) -> list[tuple[int, str, list, int, list]]:
+    """program() with the kinds of the operands; an array of numbers alone is of kind 'numbers'."""
+    out, operands, kinds, open_ = [], [], [], []
     for kind, value, start, _ in tokens(data):
-        here = open_[-1] if open_ else operands
         if kind == "open":
-            open_.append([])
+            open_.append((value, [], []))
         elif kind == "close":
             if not open_:
                 raise DecodeError("unopened")
-            done = open_.pop()
-            (open_[-1] if open_ else operands).append(done)
+            mark, done, inner = open_.pop()
+            (open_[-1][1] if open_ else operands).append(done)
+            (open_[-1][2] if open_ else kinds).append("dict" if mark == "<<" else "numbers" if set(inner) <= {"int", "real"} else "array")
         elif kind == "keyword" and not open_ and value not in ("true", "false", "null"):
-            out.append((len(out), value, operands, start))
-            operands = []
+            out.append((len(out), value, operands, start, kinds))
+            operands, kinds = [], []
         else:
-            here.append(value)
+            (open_[-1][1] if open_ else operands).append(value)
+            (open_[-1][2] if open_ else kinds).append(kind)
     if operands or open_:
         raise DecodeError("dangling-operands")
     return out
 
 
+def program(data: bytes) -> list[tuple[int, str, list, int]]:
+    """(ordinal, operator, operands, offset); arrays are lists. Unknown operators are rows like others."""
+    return [row[:4] for row in _program(data)]
+
+
 def check(ops: list) -> None:
-    """Arity, text objects, balanced stacks; an unknown operator passes between BX and EX only."""
+    """Counts and kinds of operands, text objects, balanced stacks; an unknown operator passes between BX and EX only."""
     depth = text = marked = lenient = 0
-    for _, op, operands, _ in ops:
+    for _, op, operands, _, kinds in ops:
         if op not in ARITY:
             if not lenient:
                 raise DecodeError("unknown-operator")
             continue
-        low, _, high = ARITY[op].partition("-")
-        if not int(low) <= len(operands) <= int(high or low):
+        low, high = ARITY[op]
+        if not low <= len(operands) <= high:
             raise DecodeError("operand-count")
+        shape = "n" * len(kinds) if OPERANDS[op] == "c" else OPERANDS[op]
+        if any(kind not in _FITS[want] for kind, want in zip(kinds, shape, strict=True)):
+            raise DecodeError("operand-kind")
         if op in TEXT_ONLY and not text or op == "BT" and text or op == "ET" and not text:
             raise DecodeError("text-object")
         text += (op == "BT") - (op == "ET")
@@ -91,25 +115,73 @@ def check(ops: list) -> None:
         raise DecodeError("unclosed")
 
 
+#: The state that commands are drawn with, as a page begins. Numbers are billionths; colours are cut to 0..1.
+INITIAL = {
+    "fill_space": "DeviceGray", "fill_color": (0,), "stroke_space": "DeviceGray", "stroke_color": (0,), "line_width": UNIT, "line_cap": 0, "line_join": 0, "miter_limit": 10 * UNIT, "dash": (), "dash_phase": 0,
+    "font": None, "font_size": 0, "char_spacing": 0, "word_spacing": 0, "scaling": UNIT, "render_mode": 0, "rise": 0, "leading": 0, "external": None, "intent": None,
+}
+_NUMBERS = {"w": "line_width", "M": "miter_limit", "Tc": "char_spacing", "Tw": "word_spacing", "TL": "leading", "Ts": "rise"}
+_CHOICES = {"J": ("line_cap", 2), "j": ("line_join", 2), "Tr": ("render_mode", 7)}
+
+
+def _set(state: dict, op: str, operands: list) -> dict:
+    """The state after an operator that sets some of it; others leave it as it is."""
+
+    def valid(ok: bool, **new) -> dict:
+        if not ok:
+            raise DecodeError("graphics-parameter")
+        return state | new
+
+    if op in _NUMBERS:
+        v = fixed(operands[0])
+        return valid(v >= {"w": 0, "M": UNIT}.get(op, v), **{_NUMBERS[op]: v})
+    if op in _CHOICES:
+        name, most = _CHOICES[op]
+        return valid(0 <= operands[0] <= most, **{name: operands[0]})
+    if op == "d":
+        pattern = tuple(map(fixed, operands[0]))
+        return valid(all(v >= 0 for v in pattern) and (not pattern or any(pattern)), dash=pattern, dash_phase=fixed(operands[1]))
+    if op == "Tz":
+        return state | {"scaling": _div(fixed(operands[0]) * (UNIT // 100))}
+    if op == "Tf":
+        return state | {"font": operands[0].decode("latin-1"), "font_size": fixed(operands[1])}
+    if op == '"':
+        return state | {"word_spacing": fixed(operands[0]), "char_spacing": fixed(operands[1])}
+    if op in ("gs", "ri"):
+        return state | {"external" if op == "gs" else "intent": operands[0].decode("latin-1")}
+    side = "stroke" if op.isupper() else "fill"
+    if op.upper() == "CS":
+        space = operands[0].decode("latin-1")
+        return state | {f"{side}_space": space, f"{side}_color": tuple(v * UNIT for v in SPACES[space]) if space in SPACES else None}
+    if op.upper() in ("SC", "SCN", *_COLORS):
+        space = _COLORS.get(op.upper(), state[f"{side}_space"])
+        if space in SPACES and len(operands) != len(SPACES[space]):
+            raise DecodeError("color-components")
+        return state | {f"{side}_space": space, f"{side}_color": tuple(min(max(fixed(v), 0), UNIT) for v in operands)}
+    return state
+
+
 def commands(data: bytes) -> list[dict]:
-    """Drawing commands of a program: kind, fill rule, whether stroked, and bounds in billionths under the matrix then in force."""
-    ops = program(data)
+    """Drawing commands of a program: kind, fill rule, whether stroked, bounds in billionths under the matrix then in force, and the state then set."""
+    ops = _program(data)
     check(ops)
     out: list[dict] = []
     stack: list[tuple] = []
-    ctm, line, leading, points, start = _IDENTITY, _IDENTITY, 0, [], (0, 0)
+    ctm, line, state, points, start = _IDENTITY, _IDENTITY, INITIAL, [], (0, 0)
     clip: tuple[int, int] | None = None  # operator and rule of a clip that waits for the end of its path
 
     def emit(kind: str, op: int, fill: int = 0, stroke: int = 0, at: list | None = None) -> None:
         xs, ys = zip(*at, strict=True) if at else ((None,), (None,))
-        out.append({"ordinal": op, "kind": kind, "fill": fill, "stroke": stroke, "x0": min(xs) if at else None, "y0": min(ys) if at else None, "x1": max(xs) if at else None, "y1": max(ys) if at else None})
+        out.append({"ordinal": op, "kind": kind, "fill": fill, "stroke": stroke, "x0": min(xs) if at else None, "y0": min(ys) if at else None, "x1": max(xs) if at else None, "y1": max(ys) if at else None, "state": state})
 
-    for n, op, operands, _ in ops:
+    for n, op, operands, _, _ in ops:
+        if op in ARITY:
+            state = _set(state, op, operands)
         if op == "q":
-            stack.append((ctm, leading))
+            stack.append((ctm, state))
             emit("save", n)
         elif op == "Q":
-            ctm, leading = stack.pop()
+            ctm, state = stack.pop()
             emit("restore", n)
         elif op == "cm":
             ctm = times(tuple(map(fixed, operands)), ctm)
@@ -129,16 +201,14 @@ def commands(data: bytes) -> list[dict]:
             clip = n, 1 + (op == "W*")
         elif op == "BT":
             line = _IDENTITY
-        elif op == "TL":
-            leading = fixed(operands[0])
         elif op == "Tm":
             line = tuple(map(fixed, operands))
         elif op in ("Td", "TD"):
             x, y = map(fixed, operands)
-            leading = -y if op == "TD" else leading
+            state = state | {"leading": -y} if op == "TD" else state
             line = times((UNIT, 0, 0, UNIT, x, y), line)
         elif op in ("T*", "'", '"'):
-            line = times((UNIT, 0, 0, UNIT, 0, -leading), line)
+            line = times((UNIT, 0, 0, UNIT, 0, -state["leading"]), line)
         if op in PAINTS or op == "n":
             if clip and points:
                 emit("clip", clip[0], clip[1], 0, points)
@@ -170,3 +240,24 @@ def page_commands(pages: DataFrame) -> DataFrame:
             yield out
 
     return pages.select("page", "content").mapInPandas(run, _COMMANDS)
+
+
+_STATES = "page long, ordinal long, kind string, fill_space string, fill_color array<long>, stroke_space string, stroke_color array<long>, line_width long, line_cap int, line_join int, miter_limit long, dash array<long>, dash_phase long, font string, font_size long, char_spacing long, word_spacing long, scaling long, render_mode int, rise long, leading long, external string, intent string, outcome string"
+
+
+def page_states(pages: DataFrame) -> DataFrame:
+    """The state that each paint, glyph and image command of pages (page, content) is drawn with; a page that fails has one row with the code."""
+    names = [f.split()[0] for f in _STATES.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for page, content in zip(pdf["page"], pdf["content"], strict=True):
+                try:
+                    drawn = [c for c in commands(bytes(content)) if c["kind"] in ("paint", "glyphs", "image")] if content is not None else []
+                    rows += [(page, c["ordinal"], c["kind"], *(list(v) if isinstance(v, tuple) else v for v in (c["state"][n] for n in names[3:-1])), "ready") for c in drawn]
+                except DecodeError as e:
+                    rows.append((page, *[None] * (len(names) - 2), str(e)))
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    return pages.select("page", "content").mapInPandas(run, _STATES)

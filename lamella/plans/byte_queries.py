@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codecs import decoded
-from ..operators.content import page_commands
+from ..operators.content import page_commands, page_states
 from .catalog import query, table
 
 
@@ -61,3 +61,24 @@ def content_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "orders").select(k.alias("page"), F.encode(text, "UTF-8").alias("content"))
     out = page_commands(pages)
     return out.select("page", "ordinal", "kind", "fill", "x0", "x1", "outcome")
+
+
+@query("""
+    SELECT o_orderkey AS page, unnest([19, 22, 28]) AS ordinal, unnest(['paint', 'paint', 'glyphs']) AS kind, unnest(['DeviceRGB', 'DeviceGray', 'DeviceCMYK']) AS fill_space, unnest([250000000, 0, 1000000000]) AS fill_last,
+           unnest(['DeviceCMYK', 'DeviceGray', 'DeviceGray']) AS stroke_space, unnest([(o_orderkey % 9) * 1000000000 + 500000000, 1000000000, 1000000000]) AS line_width, unnest([1, 0, 0]) AS line_cap, unnest([2, 0, 0]) AS line_join,
+           unnest([4000000000, 10000000000, 10000000000]) AS miter_limit, unnest([2, 0, 0]) AS dashes, unnest(['F1', NULL, 'F2']) AS font, unnest([12500000000, 0, -8000000000]) AS font_size, unnest([500000000, 0, 2000000000]) AS char_spacing,
+           unnest([0, 0, 1000000000]) AS word_spacing, unnest([(o_orderkey % 50 + 50) * 10000000, 1000000000, 1000000000]) AS scaling, unnest([3, 0, 0]) AS render_mode, unnest([-2000000000, 0, 0]) AS rise, unnest(['G0', NULL, NULL]) AS external, 'ready' AS outcome
+    FROM orders WHERE o_orderkey % 7 > 2
+    UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE o_orderkey % 7 WHEN 0 THEN 'graphics-parameter' WHEN 1 THEN 'operand-kind' ELSE 'color-components' END FROM orders WHERE o_orderkey % 7 <= 2""")
+def content_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line, colour and text state under save and restore; three of seven pages end in an operator that has to be refused."""
+    k = F.col("o_orderkey")
+    wrong = F.when(k % 7 == 0, "-1 w").when(k % 7 == 1, "(a) w").when(k % 7 == 2, "/DeviceRGB cs 1 sc").otherwise("")
+    text = F.format_string(
+        "q %d.5 w 1 J 2 j 4 M [3 1.5] 1 d 0.1 0.2 0.25 rg /DeviceCMYK CS 0 0 0 2 SCN /F1 12.5 Tf .5 Tc 0 Tw %d Tz 3 Tr -2 Ts /G0 gs /Perceptual ri 9 TL 0 0 5 5 re B "
+        "Q 1 1 3 3 re f /DeviceCMYK cs BT /F2 -8 Tf 3 4 Td 0 0 Td 1 2 (x y) \" ET ",
+        k % 9, k % 50 + 50,
+    )
+    out = page_states(table(spark, sf_dir, "orders").select(k.alias("page"), F.encode(F.concat(text, wrong), "UTF-8").alias("content")))
+    plain = ["stroke_space", "line_width", "line_cap", "line_join", "miter_limit", "font", "font_size", "char_spacing", "word_spacing", "scaling", "render_mode", "rise", "external", "outcome"]
+    return out.select("page", "ordinal", "kind", "fill_space", F.element_at("fill_color", -1).alias("fill_last"), F.size("dash").alias("dashes"), *plain)

@@ -179,3 +179,19 @@ def test_clip_follows_its_paint():
     from lamella.operators.content import commands
 
     assert [c["kind"] for c in commands(b"q 0 0 1 1 re W f 0 0 2 2 re W* n Q")] == ["save", "paint", "clip", "clip", "restore"]
+
+
+@pytest.mark.parametrize(
+    "program, code",
+    [(b"(a) w", "operand-kind"), (b"1.0 J", "operand-kind"), (b"3 j", "graphics-parameter"), (b"0.5 M", "graphics-parameter"), (b"[0 0] 1 d", "graphics-parameter"), (b"[/a] 1 d", "operand-kind"), (b"/DeviceRGB cs 1 sc", "color-components"), (b"8 Tr", "graphics-parameter"), (b"/P 3 BDC EMC", "operand-kind")],
+)
+def test_refused_state(program, code):
+    with pytest.raises(c.DecodeError, match=code):
+        content.commands(program)
+
+
+def test_carried_state():
+    last = content.commands(b"q 2 w 2 -1 0.5 rg /X CS 1 SC Q [] 0 d [2 0] 3 d /P << /A 1 >> BDC EMC 0 0 1 1 re S")[-1]["state"]
+    assert last["line_width"] == content.UNIT and last["fill_color"] == (0,) and last["dash"] == (2 * content.UNIT, 0) and last["stroke_space"] == "DeviceGray"
+    inside = content.commands(b"2 -1 0.5 rg /X CS 1 SC 0 0 1 1 re S")[-1]["state"]
+    assert inside["fill_color"] == (content.UNIT, 0, content.UNIT // 2) and inside["stroke_space"] == "X" and inside["stroke_color"] == (content.UNIT,)
