@@ -56,8 +56,8 @@ def composite(layers: DataFrame, key: str, order: str) -> DataFrame:
     stack = F.array_sort(F.collect_list(F.struct(order, "c", "a", "opacity", "knockout")))
     top = layers.groupBy(key).agg(stack.alias("_l")).withColumn("_t", F.aggregate("_l", F.struct(zero.alias("c"), zero.alias("a")), step))
     c, a = F.col("_t.c"), F.col("_t.a")
-    straight = F.least(F.lit(fx.ONE), F.floor((c * fx.ONE + F.floor(a / 2)) / F.nullif(a, F.lit(0))))
-    byte = lambda v: F.coalesce(F.floor((v * 255 + fx.ONE // 2) / fx.ONE), F.lit(0)).cast("long")
+    straight = F.when(a > 0, F.least(F.lit(fx.ONE), F.floor((c * fx.ONE + F.floor(a / 2)) / a))).otherwise(F.lit(0))
+    byte = lambda v: F.floor((v * 255 + fx.ONE // 2) / fx.ONE).cast("long")
     return top.select(key, F.size("_l").alias("layers"), c.alias("c"), a.alias("a"), byte(straight).alias("color_byte"), byte(a).alias("alpha_byte"))
 
 

@@ -31,4 +31,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["bench_summary"](spark, sf_dir)
 
 
-from . import byte_queries, check_queries, document_queries, file_queries, generic_queries, lifecycle_queries, object_queries, order_queries, stateful_queries  # noqa: E402, F401
+from . import byte_queries, check_queries, color_queries, document_queries, file_queries, generic_queries, lifecycle_queries, object_queries, order_queries, stateful_queries  # noqa: E402, F401
