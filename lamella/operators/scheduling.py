@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import OrderedDict, deque
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -64,6 +65,49 @@ def fair_order(queue: DataFrame, worker: str, session: str, seq: str, burst: int
     return out.withColumn("position", F.row_number().over(Window.partitionBy(worker).orderBy("turn", "_first", session, seq))).drop("_first")
 
 
+def _turns(waiting: dict, burst: int) -> list[tuple[int, object, int]]:
+    """(turn, session, place in its queue) of each dispatch: of the sessions served less than `burst` turns after the one served longest ago, the one whose next request has the smallest key."""
+    place, last = dict.fromkeys(waiting, 0), dict.fromkeys(waiting, 0)
+    oldest = [(0, i, s) for i, s in enumerate(waiting)]
+    ready = [(keys[0], i, s) for i, (s, keys) in enumerate(waiting.items())]
+    number = {s: i for i, s in enumerate(waiting)}
+    held: deque = deque()  # served sessions with work left, in the order of their turns
+    heapify(ready)
+    out: list = []
+    while ready or held:
+        while place[oldest[0][2]] == len(waiting[oldest[0][2]]) or last[oldest[0][2]] != oldest[0][0]:
+            heappop(oldest)
+        while held and last[held[0]] < oldest[0][0] + burst:
+            s = held.popleft()
+            heappush(ready, (waiting[s][place[s]], number[s], s))
+        _, i, s = heappop(ready)
+        out.append((len(out) + 1, s, place[s]))
+        place[s], last[s] = place[s] + 1, len(out)
+        if place[s] < len(waiting[s]):
+            held.append(s)
+            heappush(oldest, (last[s], i, s))
+    return out
+
+
+def dispatched(queue: DataFrame, worker: str, session: str, keys: list[str], burst: int) -> DataFrame:
+    """Rows (worker, session, *keys, position): the order in which a worker takes up its queue by `_turns`, where each choice hangs on those before. Keys order the requests and are unique in a worker.
+
+    A worker's queue is bounded by its capacity and one task's work; workers are independent.
+    """
+    names = [worker, session, *keys]
+    fields = ", ".join(f"{n} {dict(queue.dtypes)[n]}" for n in names) + ", position long"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        by_key = pdf.sort_values(keys)
+        waiting: dict = {}
+        for row in by_key[[session, *keys]].itertuples(index=False, name=None):
+            waiting.setdefault(row[0], []).append(row[1:])
+        out = [(pdf[worker].iloc[0], s, *waiting[s][k], n) for n, s, k in _turns(waiting, burst)]
+        return pd.DataFrame(out, columns=[*names, "position"])
+
+    return queue.select(names).groupBy(worker).applyInPandas(run, fields)
+
+
 def segmented(accesses: DataFrame, partition: str, seq: str, key: str, viewport: str, entries: int) -> DataFrame:
     """(partition, seq, hit, evicted) of a cache whose tiles of the current viewport are protected: others are evicted first, either kind oldest first. A new viewport leaves the old one's tiles unprotected."""
 

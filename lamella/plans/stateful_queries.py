@@ -109,3 +109,10 @@ def tumbling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.windows import tumbling
 
     return tumbling(table(spark, sf_dir, "events"))
+
+
+@query()
+def remembered_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dispatch order with a memory of turns; a session may run ahead by four turns at most."""
+    q = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("worker"), F.col("o_custkey").alias("session"), (F.col("o_orderkey") * 37 % 5).alias("priority"), "o_orderkey")
+    return scheduling.dispatched(q, "worker", "session", ["priority", "o_orderkey"], 4)

@@ -1,9 +1,12 @@
 """Edges of folds and of the table of moves that the given tables do not reach."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from lamella.functions import blend, characters
-from lamella.operators import lifecycles
+from lamella.operators import lifecycles, scheduling
 
 
 def test_transparent_layers(spark):
@@ -33,3 +36,33 @@ def test_scalars_and_codes(spark):
     assert got == [10**9, 5 * 10**8, -5 * 10**9, None, None, None, 2**63 - 1, None, -(2**63), None, None, None]
     one = spark.range(1).select(characters.name_hash(F.encode(F.lit(""), "UTF-8")).alias("e"), characters.name_hash(F.encode(F.lit("a"), "UTF-8")).alias("a"), characters.winansi(F.unhex(F.lit("80A0AD7F"))).alias("w"), characters.winansi(F.unhex(F.lit("41001F"))).alias("x")).first()
     assert (int(one.e), int(one.a), one.w, one.x) == (0xCBF29CE484222325, 0xAF63DC4C8601EC8C, "€ -•", None)
+
+
+def slowly(waiting, burst):
+    """The rule as it reads: all sessions with work are looked at before each turn."""
+    left, last, out = {s: list(enumerate(k)) for s, k in waiting.items()}, dict.fromkeys(waiting, 0), []
+    while any(left.values()):
+        least = min(last[s] for s in left if left[s])
+        s = min((s for s in left if left[s] and last[s] < least + burst), key=lambda s: left[s][0][1])
+        out.append((len(out) + 1, s, left[s].pop(0)[0]))
+        last[s] = len(out)
+    return out
+
+
+@pytest.mark.parametrize("burst", [1, 2, 4, 50])
+def test_turns(burst):
+    for seed in range(40):
+        r = random.Random(seed)
+        keys = r.sample(range(1000), r.randint(1, 60))
+        waiting: dict = {}
+        for k in sorted(keys):
+            waiting.setdefault(r.randint(1, 7), []).append((k,))
+        assert scheduling._turns(waiting, burst) == slowly(waiting, burst)
+
+
+def test_dispatched(spark):
+    rows = [(0, 1, n) for n in range(6)] + [(0, 2, 10 + n) for n in range(2)] + [(1, 3, 5)]
+    out = scheduling.dispatched(spark.createDataFrame(rows, "w long, s long, n long"), "w", "s", ["n"], 3)
+    # at turn 4 session 1 was served at 3, not below 0 + 3; at turn 7 at 6, below 4 + 3
+    assert [(r.s, r.n) for r in out.where("w = 0").orderBy("position").collect()] == [(1, 0), (1, 1), (1, 2), (2, 10), (1, 3), (1, 4), (1, 5), (2, 11)]
+    assert scheduling.dispatched(out.where("w > 5"), "w", "s", ["n"], 3).count() == 0
