@@ -581,3 +581,58 @@ def test_queries_with_sql(spark, name):
     want = con.sql(ORACLES[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())
+
+
+def test_lines_of_a_key_meet_if_close():
+    """Lines that share a key and follow each other by one size class: neighbours alone are proposed, not the whole run."""
+    from lamella.llm import lines
+
+    entry = np.zeros(20, lines._entry(False))
+    entry["node"], entry["size"], entry["place"] = np.arange(20), 40 + np.arange(20), 100
+    pairs, (names, _) = lines._buckets(entry, 32)
+    assert pairs.tolist() == [[k, k + 1] for k in range(19)] and not len(names)
+    entry["size"], entry["place"] = 40, 8 * np.arange(20)
+    assert lines._buckets(entry, 32)[0].tolist() == [[k, k + 1] for k in range(19)]
+    entry = np.zeros(5000, lines._entry(False))
+    entry["node"], entry["size"] = np.arange(5000), np.arange(5000) // 25
+    pairs, (names, nodes) = lines._buckets(entry, 32)
+    groups = [set(nodes[names == n].tolist()) for n in np.unique(names)]
+    for a in range(0, 5000, 175):
+        near = {b for b in range(5000) if abs(a // 25 - b // 25) <= 1}
+        assert near <= set().union(*(g for g in groups if a in g))
+    assert not len(pairs)
+    assert np.unique(names, return_counts=True)[1].max() <= 50
+
+
+def test_lines_that_share_a_passage(spark):
+    """Groups: many lines around one passage with some near copies, and many near copies of one line."""
+    from lamella.llm.lines import line_repeats
+
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8)))
+    passage, lines = " ".join(word() for _ in range(9)), []
+    for _ in range(70):
+        line = " ".join([passage, *(word() for _ in range(rng.randrange(14, 17)))])
+        lines.append(line)
+        if rng.random() < 0.3:
+            lines.append(line[:60] + "XYZ"[: rng.randrange(1, 4)] + line[62:])
+    one = " ".join(word() for _ in range(30))
+    for _ in range(60):
+        line = list(one)
+        for _ in range(rng.randrange(1, 5)):
+            line[rng.randrange(len(line))] = rng.choice("QRSTUVWXYZ")
+        lines.append("".join(line))
+    lines = list(dict.fromkeys(lines))
+    comp = components(range(len(lines)), lambda a, b: near_lines(lines[a].encode(), lines[b].encode()))
+    rows = line_repeats(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in rows if r.n_near} == {a for a in comp if comp[a] != a} and len(set(comp.values())) > 70
+
+
+def test_short_edge_lists_take_one_run(spark):
+    from lamella.llm.components import components as solve
+    from lamella.llm.store import Store
+
+    store = Store(spark, "test")
+    edges = store.keep(spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    found = solve(store, edges).collect()
+    assert len(found) == 1001 and {r.component for r in found} == {0} and store._n <= 4
