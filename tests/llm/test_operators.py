@@ -636,3 +636,28 @@ def test_short_edge_lists_take_one_run(spark):
     edges = store.keep(spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
     found = solve(store, edges).collect()
     assert len(found) == 1001 and {r.component for r in found} == {0} and store._n <= 4
+
+
+def test_dense_groups_are_joined_in_one_task(spark, monkeypatch):
+    """Overlapping groups of near copies of a line need no hubs, unless they are too large for a task; the classes are the same."""
+    from lamella.llm import lines
+
+    rng = random.Random(17)
+    base, rows = ["".join(rng.choice("abcdefghij klmnop") for _ in range(200)) for _ in range(2)], []
+    for b in base:
+        for _ in range(60):
+            line = list(b)
+            for _ in range(rng.randrange(1, 6)):
+                line[rng.randrange(len(line))] = rng.choice("QRSTUVWXYZ")
+            rows.append("".join(line))
+    rows = list(dict.fromkeys(rows))
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows))]
+    near = {p for p, ok in zip(pairs, lines.within([(rows[a].encode(), rows[b].encode()) for a, b in pairs]), strict=True) if ok}
+    comp = components(range(len(rows)), lambda a, b: (a, b) in near)
+    hubs, link = [], lines.link
+    monkeypatch.setattr(lines, "link", lambda *x, **y: hubs.append(1) or link(*x, **y))
+    docs = spark.createDataFrame([*enumerate(rows), (0, rows[0])], "doc_id long, text string").repartition(3)
+    for size, expected in ((lines.GROUP, []), (40, [1])):
+        monkeypatch.setattr(lines, "GROUP", size)
+        got = {r.doc_id for r in lines.line_repeats(docs).collect() if r.n_near}
+        assert got == {a for a in comp if comp[a] != a} and hubs == expected
