@@ -12,6 +12,7 @@ link that could join two components is lost, and no bucket is ever gathered.
 Members of large buckets are dealt in blocks, hubs likewise; a task holds one
 block's hubs and streams the members past them. Where nodes have sketches, these
 are compared first, and contents go only to the blocks where a sketch says that a pair is likely.
+Of sketches and contents a filter lets those into a round's shuffle that its rows may ask for.
 Where tests are dear, a pair that shares several buckets is tested in one of them: rows
 carry the smallest keys of their node, and a pair with a common key below the bucket's own is left to that one.
 """
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .packets import filter_of, might_hold
 from .store import Store
 from .text import released
 
@@ -165,16 +167,20 @@ def link(store: Store, buckets: DataFrame, content: DataFrame, test: Test, sketc
     """
     own_keys: DataFrame | None = None
 
-    def decided(rows: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-        def meet(rows: DataFrame, of: DataFrame, run, schema: str) -> DataFrame:
+    def decided(rows: DataFrame, nodes: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """The links among rows; nodes: a kept table of all their nodes, if they are not those of all buckets."""
+
+        def meet(rows: DataFrame, of: DataFrame, nodes: DataFrame | None, run, schema: str) -> DataFrame:
+            if nodes is not None:
+                of = of.where(might_hold(filter_of(nodes, F.xxhash64("node")), "node"))
             full = rows.join(of, "node") if keys is None else rows.join(of, "node").join(keys, "node")
             full = full.select("key", "i", "j", "node", "c", "hub", "content", *["keys"] * (keys is not None))
             return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("hub")).mapInArrow(run, schema).distinct()
 
         some = None
         if sketch is not None:
-            rows = some = store.keep(meet(rows, sketch, _likely(likely), "key long, i int, j int, node long, c long, hub boolean"), "likely")
-        out = store.keep(meet(rows, content, _links(test), "a long, b long"), "links")
+            rows = nodes = some = store.keep(meet(rows, sketch, nodes, _likely(likely), "key long, i int, j int, node long, c long, hub boolean"), "likely")
+        out = store.keep(meet(rows, content, nodes, _links(test), "a long, b long"), "links")
         if some is not None:
             store.drop(some)
         return out
@@ -199,7 +205,7 @@ def link(store: Store, buckets: DataFrame, content: DataFrame, test: Test, sketc
         if once:
             if own_keys is None:
                 own_keys = store.keep(starred.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, once).alias("keys")), "keys")
-        good = decided(rows, own_keys)
+        good = decided(rows, active, own_keys)
         if not good.isEmpty():
             stars = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
             found = components(store, stars.unionByName(good))

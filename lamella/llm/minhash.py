@@ -232,7 +232,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     known = sketches.where("doc_id is not null and digest is not null")
     # the first row of a set stands for all that have it
     classes = store.keep(known.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("f")).select("digest", F.col("f.row").alias("node"), F.col("f.doc_id").alias("low")), "classes")
-    nodes = store.keep(known.select(F.col("row").alias("node"), "mark").join(classes.select("node"), "node", "left_semi"), "nodes")
+    # sketches of rows that cannot be another's copy stay where they are
+    copies = store.keep(known.select("row", "digest").join(classes, "digest").where("row <> node").select("row"), "others")
+    is_copy, own = might_hold(filter_of(copies, F.xxhash64("row")), "row"), [F.col("row").alias("node"), "mark"]
+    nodes = store.keep(known.where(~is_copy).select(*own).unionByName(known.where(is_copy).select(*own).join(classes.select("node"), "node", "left_semi")), "nodes")
+    store.drop(copies)
     slim = store.keep(sketches.select("doc_id", "n_shingles", "digest", *["tie"] * with_tie), "rows")
     store.drop(sketches)
     n_parts = max(parts(docs.sparkSession), nodes.count() * BANDS // PART_ENTRIES)

@@ -661,3 +661,19 @@ def test_dense_groups_are_joined_in_one_task(spark, monkeypatch):
         monkeypatch.setattr(lines, "GROUP", size)
         got = {r.doc_id for r in lines.line_repeats(docs).collect() if r.n_near}
         assert got == {a for a in comp if comp[a] != a} and hubs == expected
+
+
+def test_contents_of_rows_alone_are_shuffled(spark, monkeypatch):
+    """After the sketches, the contents of nodes in no likely pair stay where they are."""
+    from lamella.llm import linkage
+    from lamella.llm.store import Store
+
+    asked, hold = [], linkage.might_hold
+    monkeypatch.setattr(linkage, "might_hold", lambda bits, *names: asked.append(bits) or hold(bits, *names))
+    store = Store(spark, "test")
+    buckets = store.keep(spark.createDataFrame([(k // 2, k) for k in range(40)], "key long, node long"))
+    content = store.keep(spark.range(40).select(F.col("id").alias("node"), F.col("id").cast("string").cast("binary").alias("content")))
+    test = lambda blocks: [np.array([[ask[i, j] and int(x) // 4 == 0 for j in range(len(m))] for i, x in enumerate(h)]) for h, m, ask in blocks]
+    got = linkage.link(store, buckets, content, test, content, test).collect()
+    assert {(r.node, r.component) for r in got if r.node != r.component} == {(1, 0), (3, 2)}
+    assert content.where(hold(asked[0], "node")).count() < 10
