@@ -677,3 +677,19 @@ def test_contents_of_rows_alone_are_shuffled(spark, monkeypatch):
     got = linkage.link(store, buckets, content, test, content, test).collect()
     assert {(r.node, r.component) for r in got if r.node != r.component} == {(1, 0), (3, 2)}
     assert content.where(hold(asked[0], "node")).count() < 10
+
+
+def test_filters_are_not_written_into_plans(spark):
+    """A filter's bits do not show in the description of a plan, which the driver keeps for each query; an empty one holds nothing."""
+    from lamella.llm.packets import filter_of, might_hold
+    from lamella.llm.store import Store
+
+    store = Store(spark, "test")
+    keys = store.keep(spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).alias("tie")))
+    held, none = filter_of(keys), filter_of(keys.limit(0))
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("tie"))
+    got = rows.where(might_hold(held))
+    assert {r.doc_id for r in got.collect()} >= set(range(5000)) and got.count() < 7000
+    assert len(got._jdf.queryExecution().toString()) < 20_000
+    assert rows.where(might_hold(none)).count() == 0 and rows.where(~might_hold(none)).count() == 20_000
+    assert len(held.bits()) == held.n_bits // 8 and not any(none.bits())
