@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import documents
-from .catalog import query, table
+from .catalog import query, spread, table
 
 _FIRST = "%PDF-1.7\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n"
 _PAGES = "2 0 obj\n<< /Type /Pages /Kids [3 0 R] /Count 1 >>\nendobj\n"
@@ -28,7 +28,7 @@ def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     at_4 = F.lit(_AT_3) + F.length(three)
     at_x = at_4 + F.length(four)
     base = F.concat(F.lit(_FIRST + _PAGES), three, four, F.lit("xref\n0 5\n0000000000 65535 f \n"), row(F.lit(9)), row(F.lit(_AT_2)), row(F.lit(_AT_3)), row(at_4), ends(at_x, F.lit("<< /Size 5 /Root 1 0 R >>")))
-    docs = table(spark, sf_dir, "customer").select("c_custkey", k.alias("k"), F.reverse("c_name").alias("second"), at_x.alias("at_x"), base.alias("base"))
+    docs = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey").select("c_custkey", k.alias("k"), F.reverse("c_name").alias("second"), at_x.alias("at_x"), base.alias("base"))
     again = F.concat(F.lit("3 0 obj\n("), F.col("second"), F.lit(")\nendobj\n"))
     later = F.length("base") + F.length(again)
     older = F.when(F.col("k") == 1, F.col("at_x")).otherwise(later)
@@ -89,5 +89,5 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: row(at_3 + i * (len(page) - 1))), "")
     at_x = at_3 + n * (len(page) - 1)
     text = F.concat(F.lit(_FIRST), tree, pages, F.lit("xref\n0 "), (n + 3).cast("string"), F.lit("\n0000000000 65535 f \n"), row(F.lit(9)), row(F.lit(_AT_2)), rows, F.lit("trailer\n<< /Root 1 0 R >>\nstartxref\n"), at_x.cast("string"), F.lit("\n%%EOF\n"))
-    docs = table(spark, sf_dir, "supplier").select("s_suppkey", F.encode(text, "UTF-8").alias("content"))
+    docs = spread(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", F.encode(text, "UTF-8").alias("content"))
     return documents.page_counts(documents.objects(docs, "s_suppkey"), "s_suppkey")

@@ -98,3 +98,28 @@ def test_tables_of_documents(spark):
     assert {(r.path, r.object) for r in documents.effective_entries(found).collect()} == {("a", 4), ("a", 5), ("a", 6), ("a", 8), ("b", 1)}
     assert {(r.path, r.object, r.value) for r in documents.objects(docs).where("outcome = 'ready' and stream is null").collect()} == {("a", 5, "42"), ("a", 6, '"six"'), ("a", 8, str(len(zlib.compress(b"5 0 6 3 42 (six)")))), ("b", 1, '"new"')}
     assert documents.objects(docs.limit(0)).count() == 0
+
+
+def test_documents_are_dealt_and_leave_together(spark, monkeypatch):
+    """Documents of one small file are read by several tasks; rows of many documents are one batch."""
+    from lamella.plans import file_queries
+    from lamella.sources import documents
+
+    docs = file_queries._bytes(spark, "/root/testdata/sf0.001")
+    assert docs.rdd.getNumPartitions() > 1
+    sizes: list = []
+    real = documents.pa.RecordBatch.from_arrays
+
+    class Told:
+        @staticmethod
+        def from_arrays(*x):
+            sizes.append(real(*x).num_rows)
+            return real(*x)
+
+    batch = documents.pa.record_batch({"c_custkey": [1, 2, 3], "content": [b"x", None, b"y"]})
+    run: list = []
+    plain = type("D", (), {"schema": docs.schema, "select": lambda self, *_: self, "mapInArrow": lambda self, f, s: run.append(f)})()
+    documents.entries(plain, "c_custkey")
+    monkeypatch.setattr(documents.pa, "RecordBatch", Told)
+    out = list(run[0]([batch]))
+    assert sizes == [3] and out[0].column("outcome").to_pylist() == ["no-anchor", "missing", "no-anchor"]
