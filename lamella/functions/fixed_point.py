@@ -17,7 +17,9 @@ def scaled(value: Column) -> Column:
 def divide_half_away(n: Column, d: int) -> Column:
     """n / d to the nearest whole number, halves away from zero."""
     whole = F.lit(d).cast("decimal(19,0)")
-    up = F.floor((F.abs(n) * 2 + whole) / (whole * 2))
+    twice = F.abs(n) * 2 + whole
+    # without the remainder the quotient is whole: a decimal one has six places and would round up to the next
+    up = (twice - twice % (whole * 2)) / (whole * 2)
     return (F.signum(n).cast("decimal(1,0)") * up).cast("decimal(19,0)")
 
 

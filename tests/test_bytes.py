@@ -195,3 +195,15 @@ def test_carried_state():
     assert last["line_width"] == content.UNIT and last["fill_color"] == (0,) and last["dash"] == (2 * content.UNIT, 0) and last["stroke_space"] == "DeviceGray"
     inside = content.commands(b"2 -1 0.5 rg /X CS 1 SC 0 0 1 1 re S")[-1]["state"]
     assert inside["fill_color"] == (content.UNIT, 0, content.UNIT // 2) and inside["stroke_space"] == "X" and inside["stroke_color"] == (content.UNIT,)
+
+
+def test_division_does_not_round_twice(spark):
+    """A quotient just below a half is not carried over it by the six places of a decimal division."""
+    from pyspark.sql import functions as F
+
+    from lamella.functions import fixed_point as fx
+
+    for n in (499_999_999, 500_000_000, 1_499_999_999, 123_456_789_012_345_499_999_999, -499_999_999, -500_000_000):
+        want = (1 if n > 0 else -1) * ((abs(n) * 2 + 1_000_000_000) // 2_000_000_000)
+        row = spark.range(1).select(fx.divide_half_away(F.lit(str(n)).cast("decimal(37,0)"), fx.SCALE).alias("q")).first()
+        assert int(row.q) == want, n
