@@ -24,9 +24,14 @@ def _doubled(state: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFr
     return state
 
 
-def _above(state: DataFrame, *columns: str) -> DataFrame:
-    """The state as what pointers point to: (up, and above_<column>)."""
-    return state.select(F.col("id").alias("up"), *(F.col(c).alias(f"above_{c}") for c in columns))
+def _met(state: DataFrame, above: DataFrame, *columns: str) -> DataFrame:
+    """The state beside what its pointers point to in above (id, ...): above_<column>, null where they point at nothing.
+
+    Nothing is broadcast, as a table's files are small beside its rows; and nodes without a pointer do not meet in one task.
+    """
+    alone = F.when(F.col("up").isNull(), F.pmod(F.xxhash64("id"), F.lit(4096))).otherwise(0).alias("_alone")
+    to = above.select(F.col("id").alias("up"), F.when(F.col("id").isNull(), 1).otherwise(0).cast("long").alias("_alone"), *(F.col(c).alias(f"above_{c}") for c in columns))
+    return state.select("*", alone.cast("long").alias("_alone")).join(to.hint("merge"), ["up", "_alone"], "left").drop("_alone")
 
 
 def inherited(nodes: DataFrame, value: str) -> DataFrame:
@@ -35,7 +40,7 @@ def inherited(nodes: DataFrame, value: str) -> DataFrame:
     state = nodes.select("id", own.alias("up"), F.col(value).alias("v"), F.when(F.col(value).isNotNull(), 0).alias("d"), F.lit(1).alias("span"))
 
     def step(s: DataFrame) -> DataFrame:
-        j = s.join(_above(s.withColumn("next", F.col("up")).withColumn("known", F.lit(True)), "next", "v", "d", "span", "known"), "up", "left")
+        j = _met(s, s.withColumn("next", F.col("up")).withColumn("known", F.lit(True)), "next", "v", "d", "span", "known")
         # a node with a value above it is done; so is one that points at nothing
         going = F.col("up").isNotNull() & F.col("above_known").isNotNull()
         done = going & F.col("above_d").isNotNull()
@@ -50,9 +55,8 @@ def inherited(nodes: DataFrame, value: str) -> DataFrame:
 def _gathered(state: DataFrame, given, further) -> DataFrame:
     """One round of sums: n grows by what the nodes that point here give; pointers go on where `further` (of above_ columns) allows."""
     more = state.where("up is not null").groupBy("up").agg(F.sum(given).alias("more")).withColumnRenamed("up", "id")
-    j = state.join(more, "id", "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0))).drop("more")
-    above = _above(state.withColumn("next", F.col("up")), "next", *(c for c in state.columns if c not in ("id", "up", "n")))
-    j = j.join(above, "up", "left").withColumn("up", F.when(further, F.col("above_next")))
+    j = state.join(more.hint("merge"), "id", "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0))).drop("more")
+    j = _met(j, state.withColumn("next", F.col("up")), "next", *(c for c in state.columns if c not in ("id", "up", "n"))).withColumn("up", F.when(further, F.col("above_next")))
     return j.select(*state.columns)
 
 
@@ -75,7 +79,7 @@ def outcomes(nodes: DataFrame) -> DataFrame:
     state = nodes.select("id", F.col("parent").alias("up"), F.lit(0).alias("d"), F.lit(1).alias("span"), F.lit("root").alias("end"))
 
     def step(s: DataFrame) -> DataFrame:
-        j = s.join(_above(s.withColumn("next", F.col("up")).withColumn("known", F.lit(True)), "next", "d", "span", "end", "known"), "up", "left")
+        j = _met(s, s.withColumn("next", F.col("up")).withColumn("known", F.lit(True)), "next", "d", "span", "end", "known")
         at = F.col("up").isNotNull()
         lost = at & F.col("above_known").isNull()
         ended = at & ~lost & F.col("above_next").isNull()
@@ -90,15 +94,31 @@ def outcomes(nodes: DataFrame) -> DataFrame:
     return _doubled(state, step).select("id", end.alias("outcome"), F.when(F.col("up").isNull(), F.col("d")).alias("depth"))
 
 
+def _reaching(start: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Distinct (id, on_id) of start and of all that depend on an id of it, in rounds of one join each; a round goes on from new pairs alone."""
+    below = kept(dependencies.select(F.col("on").alias("_on"), F.col("id").alias("_id")).distinct())
+    new = found = kept(start.select("id", "on_id").distinct())
+    while not new.isEmpty():
+        met = new.join(below.hint("merge"), F.col("id") == F.col("_on")).select(F.col("_id").alias("id"), "on_id").distinct()
+        new = kept(met.join(found.hint("merge"), ["id", "on_id"], "left_anti"))
+        found = found.unionAll(new)
+    return found
+
+
 def dependency_closure(requirements: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """(id, supported, n_missing, first_missing) of requirements (id, direct) over all they depend on (dependencies: id, on; on < id)."""
-    requirements.createOrReplaceTempView("_lamella_req")
-    dependencies.createOrReplaceTempView("_lamella_dep")
-    return requirements.sparkSession.sql("""
-        WITH RECURSIVE need(id, on_id) AS (
-            SELECT id, id FROM _lamella_req
-            UNION ALL
-            SELECT n.id, d.on FROM need n JOIN _lamella_dep d ON d.id = n.on_id
-        ), each AS (SELECT DISTINCT id, on_id FROM need)
-        SELECT e.id, bool_and(r.direct) AS supported, count_if(NOT r.direct) AS n_missing, min(r.id) FILTER (WHERE NOT r.direct) AS first_missing
-        FROM each e JOIN _lamella_req r ON r.id = e.on_id GROUP BY e.id""")
+    """(id, supported, n_missing, first_missing) of requirements (id, direct) over all they depend on (dependencies: id, on).
+
+    The ways are gone from what is missing up to what needs it, so only pairs that count are made.
+    """
+    requirements = kept(requirements.select("id", "direct"))
+    missing = requirements.where("not direct").groupBy("id").agg(F.count("*").alias("_n"))
+    pairs = _reaching(missing.select("id", F.col("id").alias("on_id")), dependencies)
+    lost = pairs.join(missing.withColumnRenamed("id", "on_id"), "on_id").groupBy("id").agg(F.sum("_n").alias("n_missing"), F.min("on_id").alias("first_missing"))
+    own = requirements.select("id").distinct()
+    supported = F.col("n_missing") == 0
+    if not requirements.where("direct is null").isEmpty():
+        # where nothing is known of all that is needed, neither is the whole
+        told = _reaching(requirements.where("direct is not null").select("id", F.lit(0).alias("on_id")), dependencies).select("id", F.lit(True).alias("_told"))
+        own, supported = own.join(told, "id", "left"), F.when(F.col("_told"), supported)
+    out = own.join(lost, "id", "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))
+    return out.select("id", supported.alias("supported"), "n_missing", "first_missing")
