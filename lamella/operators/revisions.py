@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def latest_wins(rows: DataFrame, keys: list[str], version: list[str], payload: list[str], tombstone) -> DataFrame:
     """The newest row of each key; a tombstone hides what is older and is then left out."""
@@ -18,18 +22,24 @@ def conflicting_identity(rows: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def follow_references(refs: DataFrame, limit: int) -> DataFrame:
-    """(id, hops, last, outcome) of each row of refs (id, next: null at a value): resolved, cycle, missing or depth, after at most limit hops."""
-    spark = refs.sparkSession
-    refs.createOrReplaceTempView("_lamella_refs")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(id, hops, at, next, path) AS (
-            SELECT id, 0, id, next, array(id) FROM _lamella_refs
-            UNION ALL
-            SELECT w.id, w.hops + 1, r.id, r.next, concat(w.path, array(r.id))
-            FROM walk w JOIN _lamella_refs r ON r.id = w.next
-            WHERE w.hops < {limit} AND NOT array_contains(w.path, w.next)
-        ), ends AS (SELECT w.*, row_number() OVER (PARTITION BY id ORDER BY hops DESC) AS k FROM walk w)
-        SELECT e.id, e.hops, e.at AS last,
-               CASE WHEN e.next IS NULL THEN 'resolved' WHEN array_contains(e.path, e.next) THEN 'cycle'
-                    WHEN t.id IS NULL THEN 'missing' ELSE 'depth' END AS outcome
-        FROM ends e LEFT JOIN _lamella_refs t ON t.id = e.next WHERE k = 1""")
+    """(id, hops, last, outcome) of each row of refs (id, next: null at a value): resolved, cycle, missing or depth, after at most limit hops.
+
+    A round is one join of the ways that still go on, each written and read again.
+    """
+    refs = kept(refs)
+    there = refs.select(F.col("id").alias("_to"), F.col("next").alias("_then"), F.lit(True).alias("_known")).hint("merge")
+    ended = []
+    going = refs.select("id", F.lit(0).alias("hops"), F.col("id").alias("at"), "next", F.array("id").alias("path"))
+    for hops in range(limit + 1):
+        known = F.when(F.col("next").isNull(), "resolved").when(F.array_contains("path", F.col("next")), "cycle")
+        told = going.withColumn("outcome", known)
+        # what has ended does not meet in the join, where all nulls would be one key
+        step = told.where("outcome is null").join(there, F.col("next") == F.col("_to"), "left")
+        step = kept(step.withColumn("outcome", F.when(F.col("_known").isNull(), "missing").when(F.lit(hops == limit), "depth")))
+        ended += [x.where("outcome is not null").select("id", "hops", F.col("at").alias("last"), "outcome") for x in (told, step)]
+        going = step.where("outcome is null").select("id", (F.col("hops") + 1).alias("hops"), F.col("next").alias("at"), F.col("_then").alias("next"), F.concat("path", F.array("next")).alias("path"))
+        if going.isEmpty():
+            break
+    out = reduce(DataFrame.unionAll, ended)
+    # an id of several rows has several ways: the longest counts
+    return out.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("hops")))).where("_k = 1").drop("_k")
