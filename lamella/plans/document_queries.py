@@ -171,7 +171,7 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "supplier").select(k.alias("a"), (k * 97 % 2000).alias("x0"), (k * 61 % 2000).alias("y0"), (k * 97 % 2000 + 150).alias("x1"), (k * 61 % 2000 + 90).alias("y1"))
     p, s = F.col("p_partkey"), F.col("p_size")
     b = table(spark, sf_dir, "part").select(p.alias("b"), (p * 31 % 2000).alias("x0"), (p * 17 % 2000).alias("y0"), (p * 31 % 2000 + s).alias("x1"), (p * 17 % 2000 + s).alias("y1"))
-    return spatial.overlap_join(a, b, 128).groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("first_b"), F.max("b").alias("last_b"))
+    return spatial.overlap_counts(a, b, "a", "b", 128)
 
 
 _D = ", ".join(f"abs(('0x' || substr(sha256(c_name), {2 * k + 1}, 2))::INT - ('0x' || substr(sha256(c_mktsegment), {2 * k + 1}, 2))::INT)" for k in range(32))

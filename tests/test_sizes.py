@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 
 from lamella import session
-from lamella.operators import revisions, trees
+from lamella.operators import revisions, spatial, trees
 
 
 @pytest.fixture
@@ -44,3 +44,12 @@ def test_pointers_are_not_broadcast(spark):
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "_alone" in plan.split("hashpartitioning(", 1)[1].split(")")[0]
     assert met.where("above_known").count() == 100 and met.count() == 1000
+
+
+def test_equal_rectangles_meet_once(spark, monkeypatch):
+    a = spark.range(200).select(F.col("id").alias("a"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(9).alias("x1"), (F.col("id") % 2 * 9).alias("y1"))
+    b = spark.range(300).select(F.col("id").alias("b"), F.lit(5).alias("x0"), F.lit(5).alias("y0"), F.lit(20).alias("x1"), F.lit(20).alias("y1"))
+    sizes, real = [], spatial.overlap_join
+    monkeypatch.setattr(spatial, "overlap_join", lambda x, y, s: sizes.append((x.count(), y.count())) or real(x, y, s))
+    got = {tuple(r) for r in spatial.overlap_counts(a, b, "a", "b", 8).collect()}
+    assert got == {(k, 300, 0, 299) for k in range(1, 200, 2)} and sizes == [(2, 1)]
