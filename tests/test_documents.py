@@ -123,3 +123,11 @@ def test_documents_are_dealt_and_leave_together(spark, monkeypatch):
     monkeypatch.setattr(documents.pa, "RecordBatch", Told)
     out = list(run[0]([batch]))
     assert sizes == [3] and out[0].column("outcome").to_pylist() == ["no-anchor", "missing", "no-anchor"]
+
+
+def test_page_counts_read_documents_once(spark):
+    """The objects of documents are made once, however often the page tree asks for them."""
+    from lamella.plans import file_queries
+
+    plan = file_queries.document_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "PythonUDF" not in plan
