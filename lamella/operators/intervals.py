@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 
 def _islands(ranges: DataFrame, keys: list[str], start: str, end: str, gap: int) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = dealt(ranges, ranges, *keys)
     # ranges merge if they overlap or lie closer than the gap; at the gap itself they stay apart
     new = F.when(before.isNull() | ~((F.col(start) < before) | (F.col(start) - before < gap)), 1).otherwise(0)
     return ranges.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -27,6 +27,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Rows that a task sorts or gathers by key at once, as far as keys can be parted.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """df by its keys in as many tasks as the number of `rows` (what df is made of, cheap to count) asks for: a sort's memory does not grow with the table."""
+    n, usual = rows.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(min(usual, 1 + 50 * n // TASK_ROWS), 1 + n // TASK_ROWS), *keys)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df written once in the folder that the cluster shares, and read again: the plan ends there.
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 
 from lamella import session
-from lamella.operators import revisions, spatial, trees
+from lamella.operators import intervals, revisions, spatial, trees
 
 
 @pytest.fixture
@@ -53,3 +53,12 @@ def test_equal_rectangles_meet_once(spark, monkeypatch):
     monkeypatch.setattr(spatial, "overlap_join", lambda x, y, s: sizes.append((x.count(), y.count())) or real(x, y, s))
     got = {tuple(r) for r in spatial.overlap_counts(a, b, "a", "b", 8).collect()}
     assert got == {(k, 300, 0, 299) for k in range(1, 200, 2)} and sizes == [(2, 1)]
+
+
+def test_tasks_of_ranges_stay_small(spark, monkeypatch):
+    """Tasks grow in number with the rows, beyond the number of shuffle partitions."""
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    rows = spark.range(2000).select((F.col("id") % 50).alias("k"), F.col("id").alias("s"), (F.col("id") + 2).alias("e"), F.lit(1).alias("p"))
+    for out in (intervals.coalesce_ranges(rows, ["k"], "s", "e", "p", 5), intervals.gaps(rows, ["k"], "s", "e")):
+        assert out.rdd.getNumPartitions() == 21
+    assert intervals.gaps(rows, ["k"], "s", "e").count() == 50 * 39
