@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 
 def section_diff(expected: DataFrame, actual: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
-    """Counts, changed, missing and unexpected elements and the first difference of each keyed list."""
-    joined = expected.select(*keys, index, F.col(value).alias("_e"), F.lit(1).alias("_he")).join(actual.select(*keys, index, F.col(value).alias("_a"), F.lit(1).alias("_ha")), [*keys, index], "full")
+    """Counts, changed, missing and unexpected elements and the first difference of each keyed list. An index is there once in a list.
+
+    Sides that are dealt by their keys alike meet in the tasks where they are.
+    """
+    side = lambda d, mine: d.select(*keys, index, F.col(value).alias("_v"), F.lit(mine).alias("_mine"))
+    both = side(expected, True).unionAll(side(actual, False))
+    own = lambda mine: F.max(F.when(F.col("_mine") == mine, F.col("_v")))
+    has = lambda mine: F.max(F.when(F.col("_mine") == mine, 1))
+    joined = both.groupBy(*keys, index).agg(own(True).alias("_e"), own(False).alias("_a"), has(True).alias("_he"), has(False).alias("_ha"))
     changed = F.col("_he").isNotNull() & F.col("_ha").isNotNull() & ~F.col("_e").eqNullSafe(F.col("_a"))
     missing, extra = F.col("_ha").isNull(), F.col("_he").isNull()
     return joined.groupBy(*keys).agg(F.count("_he").alias("n_expected"), F.count("_ha").alias("n_actual"), F.count_if(changed).alias("changed"), F.count_if(missing).alias("missing"), F.count_if(extra).alias("unexpected"), F.min(F.when(changed | missing | extra, F.col(index))).alias("first_difference"))

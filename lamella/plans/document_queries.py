@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_point as fx
 from ..operators import diffs, revisions, spatial, statistics, trees
+from ..session import dealt
 from .catalog import query, table
 
 _CENTS = "CAST(round(value * 100) AS BIGINT)"
@@ -196,7 +197,7 @@ _PLACED = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_supp
     FROM e FULL JOIN a ON a.l_orderkey = e.l_orderkey AND a.i = e.i GROUP BY 1""")
 def section_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
-    placed = lambda d, v: d.select("l_orderkey", F.expr(_PLACED).cast("long").alias("i"), F.col(v).alias("v"))
+    placed = lambda d, v: dealt(d, items, "l_orderkey").select("l_orderkey", F.expr(_PLACED).cast("long").alias("i"), F.col(v).alias("v"))
     return diffs.section_diff(placed(items, "l_returnflag"), placed(items.where("l_linenumber <> 3"), "l_linestatus"), ["l_orderkey"], "i", "v")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 
 from lamella import session
-from lamella.operators import intervals, revisions, spatial, trees
+from lamella.operators import diffs, intervals, revisions, spatial, trees
 
 
 @pytest.fixture
@@ -62,3 +62,13 @@ def test_tasks_of_ranges_stay_small(spark, monkeypatch):
     for out in (intervals.coalesce_ranges(rows, ["k"], "s", "e", "p", 5), intervals.gaps(rows, ["k"], "s", "e")):
         assert out.rdd.getNumPartitions() == 21
     assert intervals.gaps(rows, ["k"], "s", "e").count() == 50 * 39
+
+
+def test_sections_meet_where_they_are(spark):
+    """Lists dealt by their keys alike are compared without a join, and not dealt again."""
+    rows = spark.range(400).select((F.col("id") % 20).alias("k"), F.floor(F.col("id") / 20).alias("i"), (F.col("id") % 7).alias("v"))
+    side = lambda d: d.repartition(6, "k")
+    out = diffs.section_diff(side(rows), side(rows.where("i <> 3").withColumn("v", F.when(F.col("i") == 5, None).otherwise(F.col("v")))), ["k"], "i", "v")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+    assert {tuple(r)[1:] for r in out.collect()} == {(20, 19, 1, 1, 0, 3)}
