@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import OrderedDict, deque
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,47 +69,62 @@ def fair_order(queue: DataFrame, worker: str, session: str, seq: str, burst: int
     return out.withColumn("position", F.row_number().over(Window.partitionBy(worker).orderBy("turn", "_first", session, seq))).drop("_first")
 
 
-def _turns(waiting: dict, burst: int) -> list[tuple[int, object, int]]:
-    """(turn, session, place in its queue) of each dispatch: of the sessions served less than `burst` turns after the one served longest ago, the one whose next request has the smallest key."""
-    place, last = dict.fromkeys(waiting, 0), dict.fromkeys(waiting, 0)
-    oldest = [(0, i, s) for i, s in enumerate(waiting)]
-    ready = [(keys[0], i, s) for i, (s, keys) in enumerate(waiting.items())]
-    number = {s: i for i, s in enumerate(waiting)}
+def _order(first: np.ndarray, rank: np.ndarray, burst: int) -> np.ndarray:
+    """Places in `rank` in order of dispatch: of the sessions served less than `burst` turns after the one served longest ago, the one whose next request ranks first.
+
+    rank: the requests' ranks, each session's rising and together, from first[session] on; first ends with their number.
+    """
+    first, rank, out = first.tolist(), array("q", rank.astype(np.int64).tobytes()), np.empty(len(rank), np.int64)
+    n = len(first) - 1
+    place, last, turn = first[:-1], [0] * n, 0
+    oldest = [(0, s) for s in range(n)]
+    ready = [(rank[k], s) for s, k in enumerate(place)]
     held: deque = deque()  # served sessions with work left, in the order of their turns
     heapify(ready)
-    out: list = []
     while ready or held:
-        while place[oldest[0][2]] == len(waiting[oldest[0][2]]) or last[oldest[0][2]] != oldest[0][0]:
+        while place[oldest[0][1]] == first[oldest[0][1] + 1] or last[oldest[0][1]] != oldest[0][0]:
             heappop(oldest)
         while held and last[held[0]] < oldest[0][0] + burst:
             s = held.popleft()
-            heappush(ready, (waiting[s][place[s]], number[s], s))
-        _, i, s = heappop(ready)
-        out.append((len(out) + 1, s, place[s]))
-        place[s], last[s] = place[s] + 1, len(out)
-        if place[s] < len(waiting[s]):
+            heappush(ready, (rank[place[s]], s))
+        _, s = heappop(ready)
+        out[turn] = place[s]
+        turn += 1
+        place[s], last[s] = place[s] + 1, turn
+        if place[s] < first[s + 1]:
             held.append(s)
-            heappush(oldest, (last[s], i, s))
+            heappush(oldest, (turn, s))
     return out
 
 
+def _turns(waiting: dict, burst: int) -> list[tuple[int, object, int]]:
+    """(turn, session, place in its queue) of each dispatch of sessions with their sorted keys, by `_order`."""
+    sessions, keys = list(waiting), sorted(k for of in waiting.values() for k in of)
+    number = {k: n for n, k in enumerate(keys)}
+    first = np.cumsum([0, *map(len, waiting.values())])
+    out = _order(first, np.array([number[k] for of in waiting.values() for k in of], np.int64), burst)
+    owner = np.searchsorted(first, out, "right") - 1
+    return [(n + 1, sessions[s], int(k - first[s])) for n, (s, k) in enumerate(zip(owner, out, strict=True))]
+
+
 def dispatched(queue: DataFrame, worker: str, session: str, keys: list[str], burst: int) -> DataFrame:
-    """Rows (worker, session, *keys, position): the order in which a worker takes up its queue by `_turns`, where each choice hangs on those before. Keys order the requests and are unique in a worker.
+    """Rows (worker, session, *keys, position): the order in which a worker takes up its queue by `_order`, where each choice hangs on those before. Keys order the requests and are unique in a worker.
 
-    A worker's queue is bounded by its capacity and one task's work; workers are independent.
+    A worker's queue is bounded by its capacity and one task's work, at a few arrays of numbers; workers are independent.
     """
     names = [worker, session, *keys]
     fields = ", ".join(f"{n} {dict(queue.dtypes)[n]}" for n in names) + ", position long"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_key = pdf.sort_values(keys)
-        waiting: dict = {}
-        for row in by_key[[session, *keys]].itertuples(index=False, name=None):
-            waiting.setdefault(row[0], []).append(row[1:])
-        out = [(pdf[worker].iloc[0], s, *waiting[s][k], n) for n, s, k in _turns(waiting, burst)]
-        return pd.DataFrame(out, columns=[*names, "position"])
-
-    return queue.select(names).groupBy(worker).applyInPandas(run, fields)
+    def run(rows: pa.Table) -> pa.Table:
+        rank = np.empty(rows.num_rows, np.int64)
+        rank[pc.sort_indices(rows, [(k, "ascending") for k in keys]).to_numpy()] = np.arange(rows.num_rows)
+        of = rows.column(session).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        by = np.lexsort((rank, of))
+        first = np.append(np.flatnonzero(np.diff(of[by], prepend=-1)), len(by))
+        out = rows.take(pa.array(by[_order(first, rank[by], burst)]))
+        return out.append_column("position", pa.array(np.arange(1, len(by) + 1)))
+
+    return queue.select(names).groupBy(worker).applyInArrow(run, fields)
 
 
 def segmented(accesses: DataFrame, partition: str, seq: str, key: str, viewport: str, entries: int) -> DataFrame:

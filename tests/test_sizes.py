@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 
 from lamella import session
-from lamella.operators import diffs, intervals, revisions, spatial, trees
+from lamella.operators import diffs, intervals, revisions, scheduling, spatial, trees
 
 
 @pytest.fixture
@@ -72,3 +72,11 @@ def test_sections_meet_where_they_are(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
     assert {tuple(r)[1:] for r in out.collect()} == {(20, 19, 1, 1, 0, 3)}
+
+
+def test_queues_are_arrays(spark):
+    """A worker's queue is no Python object for each request."""
+    queue = spark.range(100).select((F.col("id") % 3).alias("w"), F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("s"), (-F.col("id")).alias("n"))
+    out = scheduling.dispatched(queue, "w", "s", ["n"], 2)
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.w, r.position) for r in out.collect()} == {(w, k + 1) for w in range(3) for k in range(34 - (w > 0))}
